@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievetrace.llm import byte_bpe, matroska, packing
+from sievetrace.llm import byte_bpe, chat, matroska, packing, quality, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """Name to query."""
     return {
+        "op1_url_filters": lambda s, d: url_filter.judge(s.read.parquet(f"{d}/pages.parquet")),
         "op4_media_columns": lambda s, d: matroska.digests(_docs(s, d)),
+        "op5_quality_rules": lambda s, d: quality.measured(_docs(s, d)),
+        "op6_sharding": lambda s, d: sharding.shards(_docs(s, d)),
+        "op7_chat_formatting": lambda s, d: chat.rotate(s.read.parquet(f"{d}/conversations.parquet")),
         "op9_packing": lambda s, d: packing.pieces(_docs(s, d)),
         "op10_byte_bpe": lambda s, d: byte_bpe.digests(_docs(s, d)),
     }
@@ -26,4 +30,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {}
+    return {
+        "op1_url_filters": url_filter.oracle_sql(),
+        "op5_quality_rules": quality.oracle_sql(),
+        "op7_chat_formatting": chat.oracle_sql(),
+    }
