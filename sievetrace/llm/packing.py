@@ -17,11 +17,12 @@ null ids are packed as rows of their own; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
+import struct
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
-import re
 
 import numpy as np
 import public_tokenizers
@@ -37,41 +38,70 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 32_768
 #: Tokens that wait in a partition for windows, beyond which windows are closed.
 POOL_TOKENS = 1_000_000
-#: Words that one Python worker remembers; it starts again when they are reached.
-CACHE_WORDS = 700_000
+#: Words after which a Python worker's memory becomes the older of two generations.
+CACHE_WORDS = 600_000
 SLICE = 256
 
+#: Characters that Python counts as white space and the tokenizer doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters beyond those that are composed and have one lower case letter at any place.
+_ODD_LETTER = re.compile("[^\x00-\u012f\u0131-\u017f]")
+#: Punctuation between a letter or digit and white space or the end.
+_TAIL = re.compile(r"[.,!?;:%&$*#|](?<=[^\W_].)[.,!?;:%&$*#|]*(?=\s|\Z)")
+_END = struct.pack("<I", END_ID)
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it: each word is looked up once."""
+    """Ids of whole texts by a tokenizer that drops white space and never joins across it.
+
+    Each word's ids are remembered.  Before a text is cut at its white space, letters that have one lower case
+    letter at any place are lowered, as the tokenizer does, and a tail of punctuation after a letter or digit,
+    which the tokenizer splits off as well, is set apart; so most words are stems that were seen before.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words, from the older generation or newly encoded."""
+        seen, older = self.seen, self.older
+        if older:
+            seen.update((w, older[w]) for w in words if w in older)
+        new = [w for w in words if w not in seen]
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            seen.update(zip(part, [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+
+    def _words(self, text: str | None) -> list[str] | None:
+        """White-space cut words; None for a text whose white space Python sees otherwise."""
+        if not text:
+            return []
+        if _ODD_SPACE.search(text):
+            return None
+        return _TAIL.sub(r" \g<0>", text if _ODD_LETTER.search(text) else text.lower()).split()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids and the end id of each text."""
-        seen = self.seen
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
-        split = [[] if not t or _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in seen})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            seen.update(zip(part, (tuple(e.ids) for e in self.own.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        if len(self.seen) > CACHE_WORDS:
+            self.older, self.seen = self.seen, {}
+        get = self.seen.get
         out = []
-        for text, words in zip(texts, split, strict=True):
-            if text and not words and not text.isspace():
-                ids = self.own.encode(text, add_special_tokens=False).ids
+        for text in texts:
+            words = self._words(text)
+            if words is None:
+                raw = array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
             else:
-                ids = list(chain.from_iterable(map(seen.__getitem__, words)))
-            ids.append(END_ID)
-            out.append(np.array(ids, "<u4"))
+                ids = list(map(get, words))
+                if None in ids:
+                    self._learn({w for w, x in zip(words, ids, strict=True) if x is None})
+                    ids = map(get, words)
+                raw = b"".join(ids)
+            out.append(np.frombuffer(raw + _END, "<u4"))
         return out
 
 
