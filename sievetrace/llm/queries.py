@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievetrace.llm import byte_bpe, chat, matroska, packing, quality, sharding, substring, url_filter
+from sievetrace.llm import byte_bpe, chat, jaccard, matroska, packing, quality, sharding, substring, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
     """Name to query."""
     return {
         "op1_url_filters": lambda s, d: url_filter.judge(s.read.parquet(f"{d}/pages.parquet")),
+        "op2_ngram_jaccard_join": lambda s, d: jaccard.classes(_docs(s, d)),
         "op3_substring_dedup": lambda s, d: substring.digests(_docs(s, d)),
         "op4_media_columns": lambda s, d: matroska.digests(_docs(s, d)),
         "op5_quality_rules": lambda s, d: quality.measured(_docs(s, d)),
