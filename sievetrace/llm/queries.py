@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievetrace.llm import byte_bpe, chat, jaccard, matroska, packing, quality, sharding, substring, url_filter
+from sievetrace.llm import byte_bpe, chat, jaccard, matroska, packing, quality, secrets, sharding, substring, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_rules": lambda s, d: quality.measured(_docs(s, d)),
         "op6_sharding": lambda s, d: sharding.shards(_docs(s, d)),
         "op7_chat_formatting": lambda s, d: chat.rotate(s.read.parquet(f"{d}/conversations.parquet")),
+        "op8_secret_scans": lambda s, d: secrets.findings(_docs(s, d)),
         "op9_packing": lambda s, d: packing.pieces(_docs(s, d)),
         "op10_byte_bpe": lambda s, d: byte_bpe.digests(_docs(s, d)),
     }
