@@ -214,6 +214,11 @@ def _arrays(t: pa.Table, *names: str) -> list[np.ndarray]:
 # -- the join
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side that grows with the documents: joined by a sort-merge join at every size."""
+    return df.hint("merge")
+
+
 def _described(docs: DataFrame, path_free: Callable[[bytes], np.ndarray]) -> DataFrame:
     schema = "row_id bigint, doc_id bigint, set_key binary, n int, bands array<bigint>, `values` binary"
     fields = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
@@ -299,16 +304,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     described = table(_described(own.filter("doc_id is not null"), shingles))
     sets = described.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("rep_id"), F.count("*").alias("weight"))
     sets = table(sets)
-    nodes = table(described.join(sets.select(F.col("node").alias("row_id"), "node"), "row_id").select("node", "n", "bands", "values"))
+    nodes = table(described.join(merged(sets.select(F.col("node").alias("row_id"), "node")), "row_id").select("node", "n", "bands", "values"))
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").count().filter("count > 1")
-    buckets = rows.join(full, "bucket").join(nodes.select("node", "n", "values"), "node").select("bucket", "count", "node", "n", "values")
+    buckets = rows.join(merged(full), "bucket").join(merged(nodes.select("node", "n", "values")), "node").select("bucket", "count", "node", "n", "values")
     near = connected_components(table(_candidates(buckets)))
 
     sizes = near.groupBy("component").count()
     members = table(near.join(sizes, "component").join(sets, "node").select("component", "count", "node", "weight", "set_key", "rep_id"))
-    texts = own.join(members, F.col("doc_id") == F.col("rep_id")).drop("doc_id")
+    texts = own.join(merged(members), F.col("doc_id") == F.col("rep_id")).drop("doc_id")
     checked = table(_verified(_shingled(texts)))
     parts = table(connected_components(checked, "node", "root"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
@@ -317,7 +322,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = sets.join(links, "node", "left").join(named, "node", "left")
     known = known.select("set_key", F.coalesce("class_id", "rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
 
-    found = described.select("doc_id", "set_key").join(known, "set_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = described.select("doc_id", "set_key").join(merged(known), "set_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     lost = own.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.union(lost).withColumnRenamed("doc_id", id_col)
 
@@ -327,6 +332,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = "own key"
     firsts = classes(docs, id_col, text_col).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(key)).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias(key), F.col(id_col).isNull().alias("no id"))
-    kept = rows.filter(~F.col("no id")).join(firsts, key, "left_semi")
+    kept = rows.filter(~F.col("no id")).join(merged(firsts), key, "left_semi")
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(key))).filter("nth = 1")
     return kept.select("row.*").union(rows.filter("`no id`").select("row.*"))
