@@ -14,7 +14,7 @@ third of all documents costs a hash range one entry for each slice.  No pairs of
 
 Windows are compared by hashes (anchors by 40 bits and their range, repeats by two anchors, so 80 bits and
 more, in a 64-bit key).  Defined cases: null text has no words; a null id has no order, so such rows stay
-as they are; rows with the same id don't remove from each other; texts of fewer than 50 words stay; an
+as they are; rows with the same id are repeats of one document and don't remove from each other; texts of fewer than 50 words stay; an
 empty table gives an empty table; other columns pass through.
 """
 
@@ -26,12 +26,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievetrace.llm import wordhash
-from sievetrace.llm.runtime import table, text_bytes
+from sievetrace.llm.runtime import text_bytes
 
 WINDOW = 50
 #: Any window of 50 words holds a whole block of 25 that starts at a multiple of 25.
@@ -41,6 +42,8 @@ SLICE_WORDS = 2_000_000
 #: Bytes of text for each hash range: a range's probes are held in one task's memory.
 RANGE_BYTES = 24_000_000
 MOST_RANGES = 60_000
+#: Bytes of an anchor's key, its 40 bits and its range.
+KEY_BYTES = 7
 _ANCHOR, _MARKED = 1, 2
 
 
@@ -148,48 +151,53 @@ def match_windows(e: Entries) -> Entries:
     return combine_windows(e)[0]
 
 
-_PACKED = "part int, doc_id bigint, packed binary"
+_PACKED = "part int, dest int, packed binary"
 
 
-def _rows(parts: list[int], docs: list[int | None], packed: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(docs, pa.int64()), pa.array(packed, pa.binary())], ["part", "doc_id", "packed"])
+def _rows(parts: list[int], dests: list[int | None], packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(dests, pa.int32()), pa.array(packed, pa.binary())], ["part", "dest", "packed"])
 
 
-def _by_doc(e: Entries, key_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of marked entries, one for each document."""
-    e = e.take(np.lexsort((e.pos, e.doc)))
-    cuts = np.flatnonzero(np.diff(e.doc, prepend=e.doc[:1] - 1)) if len(e.doc) else []
-    ends = [*cuts[1:], len(e.doc)]
-    for k in range(0, len(cuts), 2000):
-        some = [e.take(slice(a, b)) for a, b in zip(cuts[k : k + 2000], ends[k : k + 2000], strict=True)]
-        yield _rows([-1] * len(some), [int(x.doc[0]) for x in some], [pack(x, key_bytes) for x in some])
+def _cut_by(e: Entries, number: np.ndarray, most: int, key_bytes: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(numbers, packed entries of each) in some pieces; within a number in the order of document and position."""
+    order = np.lexsort((e.pos, e.doc, number))
+    e, number = e.take(order), number[order]
+    cuts = np.searchsorted(number, np.arange(most + 1, dtype=number.dtype))
+    some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+    for k in range(0, len(some), 256):
+        yield some[k : k + 256], [pack(e.take(slice(cuts[x], cuts[x + 1])), key_bytes) for x in some[k : k + 256]]
+
+
+def _by_doc(e: Entries, ranges: int, key_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of marked entries, one for each group of documents (``dest``); they pass through any hash range."""
+    dest = (wordhash.mix(e.doc.view(np.uint64)) % np.uint64(ranges)).astype(np.uint32)
+    for numbers, packed in _cut_by(e, dest, ranges, key_bytes):
+        yield _rows(numbers, numbers, packed)
+
+
+def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    return ((key & np.uint64(0xFFFFFF)) % np.uint64(ranges)).astype(np.uint32)
 
 
 def _by_range(e: Entries, ranges: int, key_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of entries to send, one for each hash range; a key without its range keeps the bits above the lowest 24."""
-    e = e.take(np.lexsort((e.pos, e.doc)))
-    part = (e.key & np.uint64(0xFFFFFF)) % np.uint64(ranges)
+    """Rows of entries to send, one for each hash range; five bytes of a key are those above the lowest 24 bits."""
+    part = _range_of(e.key, ranges)
     e = e._replace(key=e.key >> np.uint64(24) if key_bytes == 5 else e.key)
-    order = np.argsort(part.astype(np.uint16), kind="stable")
-    e = e.take(order)
-    cuts = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
-    some = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
-    for k in range(0, len(some), 256):
-        yield _rows(some[k : k + 256], [None] * len(some[k : k + 256]), [pack(e.take(slice(cuts[x], cuts[x + 1])), key_bytes) for x in some[k : k + 256]])
+    for numbers, packed in _cut_by(e, part, ranges, key_bytes):
+        yield _rows(numbers, [None] * len(numbers), packed)
 
 
-def _whole_key(e: Entries, part: int) -> Entries:
-    """Keys of a range made global: the 40 bits and the range."""
-    return e._replace(key=e.key << np.uint64(16) | np.uint64(part))
+def _whole_key(key: np.ndarray, part: int | np.ndarray) -> np.ndarray:
+    """Keys of a range made global: 40 bits and the range."""
+    return key << np.uint64(16) | np.asarray(part, np.uint64)
 
 
 def _probes(docs: DataFrame, ranges: int, slice_words: int) -> DataFrame:
-    """Rolling windows of every document: marked ones by document (part -1), the others by hash range."""
+    """Rolling windows of every document: marked ones by documents, the others by hash range."""
 
     def flush(held: list[Entries]) -> Iterator[pa.RecordBatch]:
         marked, sent = combine_probes(_join(held))
-        part = (marked.key & np.uint64(0xFFFFFF)) % np.uint64(ranges)
-        yield from _by_doc(marked._replace(key=(marked.key >> np.uint64(24)) << np.uint64(16) | part), 8)
+        yield from _by_doc(marked._replace(key=_whole_key(marked.key >> np.uint64(24), _range_of(marked.key, ranges))), ranges, KEY_BYTES)
         yield from _by_range(sent, ranges, 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,109 +220,113 @@ def _probes(docs: DataFrame, ranges: int, slice_words: int) -> DataFrame:
     return docs.mapInArrow(run, _PACKED)
 
 
-def _repeats(hits: DataFrame, ranges: int, slice_words: int) -> DataFrame:
-    """From each document's hits: 50-word windows of maximal repeats, repeated ones by document, others by hash range."""
+def _meet(packed: DataFrame, ranges: int, match, key_bytes: int) -> DataFrame:
+    """(dest, packed) of what ``match`` finds in each hash range, and the marked rows as they are."""
 
-    def extend(doc: int, packed: list[bytes]) -> Entries | None:
-        e = _join([unpack(x) for x in packed])
-        e = e.take(np.unique(e.pos, return_index=True)[1])
-        if len(e.pos) <= BLOCK:
-            return None
-        run = np.cumsum(np.diff(e.pos, prepend=e.pos[:1]) != 1)  # runs of consecutive shared windows
-        hit = np.zeros(run[-1] + 1, bool)
-        hit[run[e.bits & _ANCHOR > 0]] = True
-        k = len(e.pos) - BLOCK
-        whole = (run[:k] == run[BLOCK:]) & hit[run[:k]]
-        a, b = e.key[:k][whole], e.key[BLOCK:][whole]
-        key = wordhash.mix(wordhash.mix(a) * np.uint64(0x9FB21C651E98DF25) + b)
-        return Entries(key, np.full(len(key), doc, np.int64), e.pos[:k][whole], np.zeros(len(key), np.uint8))
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        marked = pc.is_valid(rows.column("dest"))
+        done, sent = rows.filter(marked), rows.filter(pc.invert(marked))
+        found = []
+        if sent.num_rows:
+            e = match(_join([unpack(x) for x in sent.column("packed").to_pylist()]))
+            found = list(_by_doc(e._replace(key=_whole_key(e.key, part)) if key_bytes else e, ranges, key_bytes))
+        return pa.concat_tables([done, pa.Table.from_batches(found, done.schema)]).select(["dest", "packed"])
 
-    def flush(held: list[Entries]) -> Iterator[pa.RecordBatch]:
-        repeated, sent = combine_windows(_join(held))
-        yield from _by_doc(repeated._replace(key=np.zeros(len(repeated.key), np.uint64)), 0)
-        yield from _by_range(sent, ranges, 8)
+    return packed.repartition(ranges, "part").groupBy("part").applyInArrow(run, "dest int, packed binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = extend(doc, packed.as_py())
-                if own is not None and len(own.key):
-                    held.append(own)
-                    n += len(own.key)
-                if n >= slice_words:
-                    yield from flush(held)
-                    held, n = [], 0
-        if held:
-            yield from flush(held)
 
-    return hits.groupBy("doc_id").agg(F.collect_list("packed").alias("packed")).mapInArrow(run, _PACKED)
+def _in_order(packed: list[bytes]) -> Entries:
+    """Entries by document and position, each once."""
+    e = _join([unpack(x) for x in packed])
+    e = e.take(np.lexsort((~e.bits, e.pos, e.doc)))
+    new = np.ones(len(e.pos), bool)
+    new[1:] = (e.doc[1:] != e.doc[:-1]) | (e.pos[1:] != e.pos[:-1])
+    return e.take(new)
 
 
-def _meet(packed: DataFrame, ranges: int, match, whole: bool) -> DataFrame:
-    """(doc_id, packed) of what ``match`` finds in each hash range, and what was found before."""
+def _repeats(hits: DataFrame, ranges: int) -> DataFrame:
+    """From documents' hits: 50-word windows of maximal repeats, repeated ones by documents, others by hash range."""
 
     def run(rows: pa.Table) -> pa.Table:
-        part = rows.column("part")[0].as_py()
-        e = match(_join([unpack(x) for x in rows.column("packed").to_pylist()]))
-        e = _whole_key(e, part) if whole else e._replace(key=np.zeros(len(e.key), np.uint64))
-        found = list(_by_doc(e, 8 if whole else 0))
-        return pa.Table.from_batches(found, _rows([], [], []).schema).select(["doc_id", "packed"])
-
-    sent = packed.filter("part >= 0").repartition(ranges, "part")
-    return sent.groupBy("part").applyInArrow(run, "doc_id bigint, packed binary").union(packed.filter("part < 0").select("doc_id", "packed"))
+        e = _in_order(rows.column("packed").to_pylist())
+        new = np.ones(len(e.pos), bool)
+        new[1:] = (e.doc[1:] != e.doc[:-1]) | (e.pos[1:] != e.pos[:-1] + 1)
+        run_of = np.cumsum(new) - 1  # runs of consecutive shared windows: maximal repeats
+        hit = np.zeros(int(new.sum()), bool)
+        hit[run_of[e.bits & _ANCHOR > 0]] = True
+        k = max(0, len(e.pos) - BLOCK)
+        whole = (run_of[:k] == run_of[BLOCK:]) & hit[run_of[:k]]
+        key = wordhash.mix(wordhash.mix(e.key[:k][whole]) * np.uint64(0x9FB21C651E98DF25) + e.key[BLOCK:][whole])
+        found: list[pa.RecordBatch] = []
+        if len(key):
+            repeated, sent = combine_windows(Entries(key, e.doc[:k][whole], e.pos[:k][whole], np.zeros(len(key), np.uint8)))
+            found = [*_by_doc(repeated, ranges, 0), *_by_range(sent, ranges, 8)]
+        return pa.Table.from_batches(found, _rows([], [], []).schema)
+
+    return hits.repartition(ranges, "dest").groupBy("dest").applyInArrow(run, _PACKED)
+
+
+def _spans(found: DataFrame, ranges: int) -> DataFrame:
+    """(doc_id, spans): the word ranges that each document loses."""
 
-
-def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_words: int = SLICE_WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(doc_id, packed): starts of the windows to remove, packed, one row for each document that has some."""
+    def run(rows: pa.Table) -> pa.Table:
+        e = _in_order(rows.column("packed").to_pylist())
+        new = np.ones(len(e.pos), bool)
+        other = np.ones(len(e.pos), bool)
+        other[1:] = e.doc[1:] != e.doc[:-1]
+        new[1:] = other[1:] | (e.pos[1:] > e.pos[:-1] + WINDOW)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(e.pos)) - 1
+        spans = pa.StructArray.from_arrays([pa.array(e.pos[first].astype(np.int32)), pa.array(e.pos[last].astype(np.int32) + np.int32(WINDOW))], ["start", "stop"])
+        cuts = np.append(np.flatnonzero(other[first]), len(first))
+        return pa.table({"doc_id": e.doc[np.flatnonzero(other)], "spans": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans)})
+
+    return found.repartition(ranges, "dest").groupBy("dest").applyInArrow(run, "doc_id bigint, spans array<struct<start:int,stop:int>>")
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_words: int = SLICE_WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(doc_id, spans): the word ranges that are removed, one row for each document that has some."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     ranges = max(1, min(MOST_RANGES, math.ceil(text_bytes(texts, "text") / range_bytes)))
-    hits = _meet(table(_probes(texts, ranges, slice_words)), ranges, match_probes, True)
-    few = max(1, ranges // 4)
-    found = _meet(table(_repeats(hits, few, slice_words)), few, match_windows, False)
-    return found.groupBy("doc_id").agg(F.collect_list("packed").alias("packed"))
+    hits = _meet(_probes(texts, ranges, slice_words), ranges, match_probes, KEY_BYTES)
+    return _spans(_meet(_repeats(hits, ranges), ranges, match_windows, 0), ranges)
 
 
-def cut(raw: bytes, packed: list[bytes] | None) -> tuple[bytes, int, int]:
-    """A text without the words of the given windows (and the white space after them), its words and those removed."""
-    starts, ends = wordhash.spans(raw)
-    if not packed:
+def cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+    """A text without the words of some ranges (and the white space after them), its words and those removed."""
+    starts, _ = wordhash.spans(raw)
+    if not spans:
         return raw, len(starts), 0
-    cover = np.zeros(len(starts) + 1, np.int32)
-    for p in packed:
-        pos = unpack(p).pos
-        pos = pos[pos + WINDOW <= len(starts)]
-        np.add.at(cover, pos, 1)
-        np.add.at(cover, pos + WINDOW, -1)
-    gone = np.cumsum(cover[:-1]) > 0
-    edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
-    out, at = [], 0
     bounds = [*starts.tolist(), len(raw)]
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+    out, at, gone = [], 0, 0
+    for span in spans:
+        a, b = (min(span[k], len(starts)) for k in ("start", "stop"))
         out.append(raw[at : bounds[a]])
         at = bounds[b]
-    return b"".join([*out, raw[at:]]), len(starts), int(gone.sum())
+        gone += b - a
+    return b"".join([*out, raw[at:]]), len(starts), gone
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "words", **sizes: int) -> DataFrame:
     """All columns of each row, the text without its repeated windows, and the struct ``out``: n_words, n_removed.
 
-    Rows are only joined to the windows that they lose; ``sizes`` go to :func:`removed_windows`.
+    Rows are only joined to the windows that they lose; ``sizes`` go to :func:`removed_spans`.
     """
     names = docs.columns
-    spans = removed_windows(docs, id_col, text_col, **sizes)
+    spans = removed_spans(docs, id_col, text_col, **sizes)
     key = "own key"
     joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).cast("long").alias(key), F.col(text_col).alias("own text"))
-    joined = joined.join(spans.withColumnRenamed("doc_id", key), key, "left").select("row", "own text", "packed")
+    joined = joined.join(spans.withColumnRenamed("doc_id", key).hint("merge"), key, "left").select("row", "own text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone = [], [], []
-            for text, packed in zip(batch.column(1), batch.column(2), strict=True):
+            for text, lost in zip(batch.column(1), batch.column(2), strict=True):
                 if not text.is_valid:
                     new, n, m = None, 0, 0
                 else:
-                    new, n, m = cut(text.as_buffer().to_pybytes(), packed.as_py())
+                    new, n, m = cut(text.as_buffer().to_pybytes(), lost.as_py())
                 texts.append(new)
                 counts.append(n)
                 gone.append(m)
