@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: text, hashing and features, arithmetic."""
