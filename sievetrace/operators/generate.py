@@ -69,7 +69,7 @@ def greedy(model: Generator, prompt: str, chars: dict[int, str], most: int) -> s
 
 
 def beam(model: Generator, prompt: str, chars: dict[int, str], width: int, most: int, alpha: float = 0.7) -> list[tuple[str, float]]:
-    """Distinct texts by length-normalised log probability, the best score of each; stops when enough are complete."""
+    """Distinct texts by length-normalised log probability, the best score of each; stops when nothing can still get among the best."""
     live = [([BEGIN], 0.0, model.start(prompt))]
     done: list[tuple[list[int], float]] = []
     norm = lambda ids, lp: lp / max(len(ids) - 1, 1) ** alpha
@@ -86,8 +86,8 @@ def beam(model: Generator, prompt: str, chars: dict[int, str], width: int, most:
             elif len(grown) < width:
                 grown.append((ids, lp, states[row]))
         live = grown
-        if len(done) >= width or not live:
-            break
+        if not live or len(done) >= width and max(lp for _, lp, _ in live) / most**alpha < sorted((s for _, s in done), reverse=True)[width - 1]:
+            break  # no live text can still get among the best
     done += [(ids, norm(ids, lp)) for ids, lp, _ in live] if len(done) < width else []
     best: dict[str, float] = {}
     for ids, score in sorted(done, key=lambda d: -d[1]):
