@@ -138,6 +138,11 @@ def write_routed(traces: DataFrame, path: str) -> None:
     traces.write.mode("append").partitionBy("success").parquet(path)
 
 
+def read_routed(spark: SparkSession, path: str) -> DataFrame:
+    """Attempts of :func:`write_routed`; filters on ``success`` prune folders."""
+    return spark.read.parquet(path).withColumn("success", F.col("success").cast("boolean"))
+
+
 def distinct_text(df: DataFrame, col: str) -> DataFrame:
     """(ord, line): distinct values in order (sorted before newlines are escaped)."""
     rows = df.select(F.col(col).alias("raw")).filter("raw is not null").distinct()
