@@ -12,8 +12,8 @@ each word, so the shuffle is about the size of the texts.  Within a slice copies
 what several documents of the slice share is marked at once and sent on as one entry, so a passage in a
 third of all documents costs a hash range one entry for each slice.  No pairs of documents are formed.
 
-Windows are compared by hashes (anchors by 40 bits and their range, repeats by two anchors, so 80 bits and
-more, in a 64-bit key).  Defined cases: null text has no words; a null id has no order, so such rows stay
+Anchors are compared by 32 bits of a hash within one of the hash ranges, repeats by runs of 26 such
+anchors and a 64-bit key of the two that make up a window.  Defined cases: null text has no words; a null id has no order, so such rows stay
 as they are; rows with the same id are repeats of one document and don't remove from each other; texts of fewer than 50 words stay; an
 empty table gives an empty table; other columns pass through.
 """
@@ -38,12 +38,12 @@ WINDOW = 50
 #: Any window of 50 words holds a whole block of 25 that starts at a multiple of 25.
 BLOCK = 25
 #: Words whose probes are combined and packed together.
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 1_200_000
 #: Bytes of text for each hash range: a range's probes are held in one task's memory.
-RANGE_BYTES = 24_000_000
+RANGE_BYTES = 16_000_000
 MOST_RANGES = 60_000
-#: Bytes of an anchor's key, its 40 bits and its range.
-KEY_BYTES = 7
+#: Bytes of an anchor's key in its range, and with its range.
+PROBE_BYTES, KEY_BYTES = 4, 6
 _ANCHOR, _MARKED = 1, 2
 
 
@@ -180,15 +180,15 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _by_range(e: Entries, ranges: int, key_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of entries to send, one for each hash range; five bytes of a key are those above the lowest 24 bits."""
+    """Rows of entries to send, one for each hash range; a probe's key is the upper half of its hash."""
     part = _range_of(e.key, ranges)
-    e = e._replace(key=e.key >> np.uint64(24) if key_bytes == 5 else e.key)
+    e = e._replace(key=e.key >> np.uint64(32) if key_bytes == PROBE_BYTES else e.key)
     for numbers, packed in _cut_by(e, part, ranges, key_bytes):
         yield _rows(numbers, [None] * len(numbers), packed)
 
 
 def _whole_key(key: np.ndarray, part: int | np.ndarray) -> np.ndarray:
-    """Keys of a range made global: 40 bits and the range."""
+    """Keys of a range made global: 32 bits and the range."""
     return key << np.uint64(16) | np.asarray(part, np.uint64)
 
 
@@ -197,8 +197,8 @@ def _probes(docs: DataFrame, ranges: int, slice_words: int) -> DataFrame:
 
     def flush(held: list[Entries]) -> Iterator[pa.RecordBatch]:
         marked, sent = combine_probes(_join(held))
-        yield from _by_doc(marked._replace(key=_whole_key(marked.key >> np.uint64(24), _range_of(marked.key, ranges))), ranges, KEY_BYTES)
-        yield from _by_range(sent, ranges, 5)
+        yield from _by_doc(marked._replace(key=_whole_key(marked.key >> np.uint64(32), _range_of(marked.key, ranges))), ranges, KEY_BYTES)
+        yield from _by_range(sent, ranges, PROBE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
