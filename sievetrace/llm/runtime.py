@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/sievetrace-{spark.sparkContext.applicationId}"
 
 
+#: Folders of tables that were written inside of recorded() and not released yet.
+_recorded: list[str] = []
+_recording = False
+
+
+@contextmanager
+def recorded() -> Iterator[None]:
+    """Remember the tables that are written inside, for release()."""
+    global _recording
+    before, _recording = _recording, True
+    try:
+        yield
+    finally:
+        _recording = before
+
+
+def release(docs: DataFrame) -> None:
+    """Delete the recorded tables but those that ``docs`` reads; for a step whose input has been written and read again."""
+    spark = docs.sparkSession
+    read = docs.inputFiles() if _recorded else []
+    for path in [p for p in _recorded if not any(p.rpartition("/")[2] in f for f in read)]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _recorded.remove(path)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -30,6 +58,8 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _recording:
+        _recorded.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
