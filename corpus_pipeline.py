@@ -9,43 +9,67 @@ the next one's ``docs``.  All but the last return the columns of ``docs``:
 4. secret scans: secrets are masked;
 5. packing: the pieces of all documents in token sequences.
 
+A stage starts by deleting the working tables of those before it, which its written input no longer needs.
 Where a stage changes the text, ``n_chars`` follows.  No stage drops a row for another reason; a document
 whose text is cut to nothing stays as an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievetrace.llm import jaccard, packing, quality, secrets, substring
-from sievetrace.llm.runtime import table
+from sievetrace.llm.runtime import recorded, release, table
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _alone(stage: Stage) -> Stage:
+    """A stage that first deletes the working tables of earlier ones, but what its input reads."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(docs)
+        with recorded():
+            return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+@_alone
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own and their host's rules."""
     return quality.keep_good(docs)
 
 
+@_alone
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return jaccard.keep_first(docs)
 
 
+@_alone
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a smaller id has too."""
     return _counted(substring.dedup(docs).select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
+@_alone
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
     return _counted(secrets.redact(docs))
 
 
+@_alone
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return packing.pieces(docs)
