@@ -335,3 +335,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = rows.filter(~F.col("no id")).join(merged(firsts), key, "left_semi")
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(key))).filter("nth = 1")
     return kept.select("row.*").union(rows.filter("`no id`").select("row.*"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for :func:`classes`: every pair that shares a shingle, without pruning."""
+    return r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM met JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 9 * common >= 4 * (nx.n + ny.n)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+class AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x),
+degree AS (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM class LEFT JOIN degree USING (doc_id)
+"""

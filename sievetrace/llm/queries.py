@@ -35,6 +35,9 @@ def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
     return {
         "op1_url_filters": url_filter.oracle_sql(),
+        "op2_ngram_jaccard_join": jaccard.oracle_sql(),
+        "op3_substring_dedup": substring.oracle_sql(),
         "op5_quality_rules": quality.oracle_sql(),
+        "op6_sharding": sharding.oracle_sql(),
         "op7_chat_formatting": chat.oracle_sql(),
     }

@@ -47,3 +47,15 @@ def shards(docs: DataFrame, n: int = SHARDS, id_col: str = "doc_id", text_col: s
     return dealt.join(F.broadcast(first), "shard").select(
         F.col("doc").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for :func:`shards`; CRC-32 from its table, which a rule gives."""
+    return r"""
+WITH bits AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+r AS (SELECT doc_id, coalesce(text, '') AS text, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(size - 7 AS BIGINT)), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT))), lambda a, b: xor(bits.t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS text_crc32 FROM r, bits),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
+s AS (SELECT doc_id, size, text_crc32, CAST(least(23, (2 * upto - size) * 24 // (2 * total)) AS INT) AS shard FROM p)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""

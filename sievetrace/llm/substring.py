@@ -343,3 +343,19 @@ def digests(docs: DataFrame, **sizes: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     kept = F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
     return clean.select("doc_id", "words.n_words", "words.n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for :func:`digests`: every window of every document."""
+    return r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+rep AS (SELECT DISTINCT doc_id, i FROM win JOIN first USING (h) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM rep, (SELECT unnest(range(50)) AS k)),
+words AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
