@@ -33,17 +33,20 @@ def expand(spark: SparkSession, paths: list[str]) -> list[str]:
 def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(_file_ord, _line_no, raw) of the lines that are neither blank nor comments.
 
-    Line numbers come from one row for each whole file, so a file of records is split only by the number of files;
-    convert large inputs to Parquet once (``records`` does) and query that.
+    Files are read in splits.  A line's number is its place in its split and the lines of the file's earlier
+    splits, which are counted first: one row for each split goes to all tasks.
     """
     if not paths:
         return spark.createDataFrame([], "_file_ord int, _line_no bigint, raw string")
-    order = spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "_path string, _file_ord int")
-    whole = spark.read.text(paths, wholetext=True).withColumn("_path", F.input_file_name())
-    tail = lambda c: F.regexp_replace(c, r"^[a-z]+:/+", "/")  # noqa: E731  # 'file:/x' and 'file:///x' are the same file
-    numbered = whole.select(tail(F.col("_path")).alias("_path"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    joined = numbered.join(F.broadcast(order.withColumn("_path", tail(F.col("_path")))), "_path")  # one row for each file
-    kept = joined.select("_file_ord", (F.col("at") + 1).cast("long").alias("_line_no"), strip(F.col("line")).alias("raw"))
+    tail = lambda c: F.regexp_replace(c, r"^([a-z]+):/+", "$1:/")  # noqa: E731  # 'file:/x' and 'file:///x' are the same file
+    order = spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "_path string, _file_ord int").withColumn("_path", tail(F.col("_path")))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    lines = spark.read.text(paths).select("value", tail(place["file_path"]).alias("_path"), place["file_block_start"].alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    pieces = lines.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(F.broadcast(order), "_path")
+    numbered = lines.join(F.broadcast(pieces.drop("_n")), ["_path", "_start"])
+    kept = numbered.select("_file_ord", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("_line_no"), strip(F.col("value")).alias("raw"))
     return kept.filter((F.length("raw") > 0) & ~F.col("raw").startswith("#"))
 
 

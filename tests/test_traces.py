@@ -32,6 +32,19 @@ def test_scan(spark, tmp_path):
     assert [r.theorem_name for r in both] == ["z", "x", None, "y"] and [r._file_ord for r in both] == [0, 1, 1, 1]
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    paths = [written(tmp_path, f"{k}.jsonl", [{"theorem_name": f"{k}-{n}"} for n in range(3000)]) for k in "ab"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = jsonl.records(spark, paths, "theorem_name string")
+        assert rows.rdd.getNumPartitions() > 5
+        got = {(r._file_ord, r._line_no): r.theorem_name for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(f, n + 3): f"{'ab'[f]}-{n}" for f in range(2) for n in range(3000)}
+
+
 def test_validity(spark, tmp_path):
     whole = trace()
     path = written(tmp_path, "t.jsonl", [whole, {k: v for k, v in whole.items() if k != "state_after"}, whole | {"state_after": None}, whole | {"unknown_key": 1}, whole | {"tactic": None}, "{no"])
