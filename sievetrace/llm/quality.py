@@ -94,18 +94,22 @@ def host_rates(judged: DataFrame, host_col: str = "source") -> DataFrame:
     return hosts.select("*", *shrunk)
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep: list[str] | None = None, limit: float = HOST_LIMIT) -> DataFrame:
-    """Columns ``keep`` (all by default) of each row and the struct ``quality``: measures, fails, base_failed,
-    host_rejected, kept.  The rows are written once to the shared folder, so texts are measured once."""
-    names = docs.columns if keep is None else keep
-    measured = docs.select(F.struct(*names).alias("row"), F.col(host_col).alias("host"), measures(F.col(text_col)).alias("m"))
+def _judged(docs: DataFrame, names: list[str], text_col: str, host_col: str, limit: float) -> DataFrame:
+    """(row, quality): each row's own columns, and its verdict."""
+    measured = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(host_col).alias("host"), measures(F.col(text_col)).alias("m"))
     judged = table(measured.withColumn("fails", _own_rules(F.col("m"))))
     rates = host_rates(judged.select("host", "fails"), "host")
     bad = rates.filter(F.greatest(*(F.col(f"{r}_rate") for r in RULES)) > limit).select("host", F.lit(True).alias("rejected"))
     failed = F.col("fails.short") | F.col("fails.repeated")
     rejected = F.coalesce("rejected", F.lit(False))
     quality = F.struct("m", "fails", failed.alias("base_failed"), rejected.alias("host_rejected"), (~failed & ~rejected).alias("kept"))
-    return judged.join(bad, "host", "left").select("row.*", quality.alias("quality"))
+    return judged.join(bad, "host", "left").select("row", quality.alias("quality"))
+
+
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep: list[str] | None = None, limit: float = HOST_LIMIT) -> DataFrame:
+    """Columns ``keep`` (all by default) of each row and the struct ``quality``: m (the measures), fails, base_failed,
+    host_rejected, kept.  The rows are written once to the shared folder, so texts are measured once."""
+    return _judged(docs, docs.columns if keep is None else keep, text_col, host_col, limit).select("row.*", "quality")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -114,12 +118,9 @@ def measured(docs: DataFrame) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "quality.base_failed", "quality.kept")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows that no rule rejects, with their own columns."""
-    name = "quality" if "quality" not in docs.columns else None
-    q = judge(docs if name else docs.withColumnRenamed("quality", "own_quality"))
-    out = q.filter("quality.kept").drop("quality")
-    return out if name else out.withColumnRenamed("own_quality", "quality")
+    return _judged(docs, docs.columns, text_col, host_col, limit).filter("quality.kept").select("row.*")
 
 
 def oracle_sql() -> str:
