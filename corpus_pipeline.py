@@ -60,7 +60,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @_alone
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a smaller id has too."""
-    return _counted(substring.dedup(docs).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return _counted(substring.dedup(docs, out="what went").select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 @_alone
