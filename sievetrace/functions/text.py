@@ -106,9 +106,9 @@ def goal_line(c: Column, mark: str = "⊢") -> Column:
     return F.coalesce(strip(F.get(found, F.lit(0))), strip(c))
 
 
-def normalise_error(c: Column) -> Column:
-    """First line of an error without the temporary file's name and place."""
-    c = F.regexp_replace(c, r"(?m)^.*?mini_elf_lean[^\s:]*\.lean:\d+:\d+:\s*", "")
+def normalise_error(c: Column, suffix: str = "lean") -> Column:
+    """First line of an error without the temporary file's name and place; its name ends in ``suffix``."""
+    c = F.regexp_replace(c, rf"(?m)^.*?[^\s:/\\]+\.{suffix}:\d+:\d+:\s*", "")
     return strip(F.get(lines(strip(c)), F.lit(0)))
 
 

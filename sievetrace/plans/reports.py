@@ -59,7 +59,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     text = F.regexp_replace("url", r"^.*?://[^/]*\.example\.([a-z]+)/([a-z]+)/.*$", "error: $1/$2\nmore")
-    pages = table(spark, d, "pages").select(F.concat(F.lit("/tmp/mini_elf_lean_x1.lean:2:8: "), text).alias("error"), F.lit(False).alias("success"), F.lit(0).alias("_file_ord"), F.col("page_id").alias("_line_no"))
+    pages = table(spark, d, "pages").select(F.concat(F.lit("/tmp/attempt_x1.lean:2:8: "), text).alias("error"), F.lit(False).alias("success"), F.lit(0).alias("_file_ord"), F.col("page_id").alias("_line_no"))
     return audit.top_errors(pages, 10)
 
 

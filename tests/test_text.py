@@ -48,7 +48,7 @@ def test_white_space(spark):
 
 
 def test_errors(spark):
-    assert one(spark, text.normalise_error, "/tmp/mini_elf_lean_abc12.lean:2:8: error: Type mismatch\n  q", r"C:\Users\x\mini_elf_lean_zxc.lean:2:2: error(lean.unknownIdentifier): no", None) == ["error: Type mismatch", "error(lean.unknownIdentifier): no", None]
+    assert one(spark, text.normalise_error, "/tmp/attempt_abc12.lean:2:8: error: Type mismatch\n  q", r"C:\Users\x\attempt_zxc.lean:2:2: error(lean.unknownIdentifier): no", None) == ["error: Type mismatch", "error(lean.unknownIdentifier): no", None]
 
 
 def test_preview_and_diagnostics(spark):
