@@ -17,6 +17,7 @@ null ids are packed as rows of their own; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from array import array
@@ -39,7 +40,7 @@ STEP_TOKENS = 32_768
 #: Tokens that wait in a partition for windows, beyond which windows are closed.
 POOL_TOKENS = 1_000_000
 #: Words after which a Python worker's memory becomes the older of two generations.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 SLICE = 256
 
 #: Characters that Python counts as white space and the tokenizer doesn't.
@@ -48,15 +49,16 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _ODD_LETTER = re.compile("[^\x00-\u012f\u0131-\u017f]")
 #: Punctuation between a letter or digit and white space or the end.
 _TAIL = re.compile(r"[.,!?;:%&$*#|](?<=[^\W_].)[.,!?;:%&$*#|]*(?=\s|\Z)")
+_BYTES_ONLY = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _END = struct.pack("<I", END_ID)
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space and never joins across it.
 
-    Each word's ids are remembered.  Before a text is cut at its white space, letters that have one lower case
-    letter at any place are lowered, as the tokenizer does, and a tail of punctuation after a letter or digit,
-    which the tokenizer splits off as well, is set apart; so most words are stems that were seen before.
+    Each word's ids are remembered.  Before a text is cut at its white space, if its letters all have one lower
+    case letter at any place they are lowered, as the tokenizer does, and a tail of punctuation after a letter or
+    digit, which the tokenizer splits off as well, is set apart; so most words are stems that were seen before.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,6 +66,8 @@ class WordTokenizer:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        bare = json.loads(self.own.to_str()) | {"normalizer": None, "pre_tokenizer": _BYTES_ONLY}
+        self.stems = Tokenizer.from_str(json.dumps(bare))  # the same for lower-case letters: nothing to normalise or split
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -72,10 +76,14 @@ class WordTokenizer:
         seen, older = self.seen, self.older
         if older:
             seen.update((w, older[w]) for w in words if w in older)
-        new = [w for w in words if w not in seen]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            seen.update(zip(part, [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        plain, other = [], []
+        for w in words:
+            if w not in seen:
+                (plain if w.isalpha() and not _ODD_LETTER.search(w) and w.islower() else other).append(w)
+        for own, new in ((self.stems, plain), (self.own, other)):
+            for k in range(0, len(new), 4096):
+                part = new[k : k + 4096]
+                seen.update(zip(part, [array("I", e.ids).tobytes() for e in own.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
     def _words(self, text: str | None) -> list[str] | None:
         """White-space cut words; None for a text whose white space Python sees otherwise."""
@@ -83,7 +91,7 @@ class WordTokenizer:
             return []
         if _ODD_SPACE.search(text):
             return None
-        return _TAIL.sub(r" \g<0>", text if _ODD_LETTER.search(text) else text.lower()).split()
+        return text.split() if _ODD_LETTER.search(text) else _TAIL.sub(r" \g<0>", text.lower()).split()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids and the end id of each text."""

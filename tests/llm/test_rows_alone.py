@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -50,6 +51,20 @@ def test_bpe_on_the_corpus(spark):
         assert got[r.doc_id] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
 
 
+def test_bpe_on_odd_texts():
+    """Chunked and remembered encoding is that of the whole text, on odd white space and letters."""
+    rng = random.Random(8)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(byte_bpe.VOCABULARY), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = byte_bpe.Codec(public_tokenizers.path(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
+    parts = ["the", "Thing", "ção", "e\u0301", "'s", "'ll", "'", "...", "$$$", "12", "٣", "日本", "_", "\u00a0", "\u2003", "\u0085", "\x1c", "\x1f", "\u180e", "\u200b", "\n", "\r\n", "\t", " ", "  ", "🙂", "\0", "\ufeff"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        ids = own.encode_ordinary(text)
+        assert codec.encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
 def test_media_round_trip(docs):
     got = matroska.digests(docs).collect()
     texts = {**dict(enumerate(TEXTS)), None: "no id"}
@@ -127,6 +142,18 @@ def test_packing_is_whole(docs):
         assert at == len(ids)
 
 
+def test_words_are_tokenised_as_texts():
+    """Remembered stems give the tokenizer's own ids, on texts of odd letters and punctuation."""
+    rng = random.Random(6)
+    own = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    own.encode_special_tokens = True
+    parts = ["the", "Thing", "ção", "ß", "İ", "ΑΣ", "é", "e\u0301", "ﬁ", "'s", "'S", "...", ",", "$$$", "###", "12", "٣", "日本", "x_y", "\u00a0", "\u2003", "\x1c", "-", "ŉ", "Ǆ", "K", "!", "¼", "\n", "\t", " "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " ", ". "]) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    tokens = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    for text, ids in zip(texts, tokens.encode(texts)):
+        assert ids.tolist() == [*own.encode(text, add_special_tokens=False).ids, packing.END_ID], repr(text)
+
+
 def test_packing_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = packing.pieces(docs).collect()
