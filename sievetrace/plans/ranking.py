@@ -92,8 +92,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "generation_stats",
-    """WITH t AS (SELECT DISTINCT event_type AS tactic FROM events WHERE user_id % 2 = 0 AND event_type <> 'view'),
-r AS (SELECT user_id, list(event_type ORDER BY event_id) AS p FROM events WHERE user_id % 2 = 1 GROUP BY user_id), e AS (SELECT user_id, unnest(p) AS x FROM r),
+    """WITH t AS (SELECT DISTINCT event_type AS tactic FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_type <> 'view'),
+r AS (SELECT user_id, list(event_type ORDER BY event_id) AS p FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY user_id), e AS (SELECT user_id, unnest(p) AS x FROM r),
 f AS (SELECT user_id, x, x NOT IN (SELECT tactic FROM t) AS new, x IN ('click', 'view') AS ok FROM e)
 SELECT (SELECT avg(length(p[1])) FROM r) AS avg_top1_chars, (SELECT avg(len(list_distinct(p))) FROM r) AS avg_distinct, CAST(0 AS DOUBLE) AS empty_rate,
   CAST(count(*) FILTER (new) AS DOUBLE) / count(*) AS novel_rate, CAST(count(*) FILTER (NOT ok) AS DOUBLE) / count(*) AS invalid_rate, count(*) FILTER (new AND ok) AS novel_verified,
@@ -101,8 +101,8 @@ SELECT (SELECT avg(length(p[1])) FROM r) AS avg_top1_chars, (SELECT avg(len(list
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    rows = e.filter("user_id % 2 = 1").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]).alias("predictions"))
-    train = e.filter("user_id % 2 = 0 and event_type <> 'view'").select(F.col("event_type").alias("tactic"))
+    rows = e.filter("ts >= timestamp '2024-01-15'").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]).alias("predictions"))
+    train = e.filter("ts < timestamp '2024-01-15' and event_type <> 'view'").select(F.col("event_type").alias("tactic"))
     return metrics.generation(rows.withColumn("accepted", F.array(F.lit("click"), F.lit("view"))), train)
 
 

@@ -31,27 +31,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "verdict_cache_misses",
-    """WITH k AS (SELECT sha256(CAST(user_id AS VARCHAR) || chr(0) || event_type) AS cache_key, event_id FROM events)
-SELECT DISTINCT cache_key FROM k WHERE event_id % 2 = 1 AND cache_key NOT IN (SELECT cache_key FROM k WHERE event_id % 10 = 0)""",
+    """WITH k AS (SELECT sha256(CAST(user_id AS VARCHAR) || chr(0) || event_type || chr(0) || CAST(CAST(round(value) AS INT) AS VARCHAR)) AS cache_key, ts FROM events)
+SELECT DISTINCT cache_key FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE ts < TIMESTAMP '2024-01-10')""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("theorem_name"), F.col("event_type").alias("tactic")).withColumn("cache_key", verify.verdict_key())
-    return lookup.unknown(rows.filter("event_id % 2 = 1").select("cache_key"), rows.filter("event_id % 10 = 0"))
+    action = F.concat("event_type", F.lit("\0"), F.round("value").cast("int"))
+    rows = table(spark, d, "events").select("ts", F.col("user_id").cast("string").alias("theorem_name"), action.alias("tactic")).withColumn("cache_key", verify.verdict_key())
+    return lookup.unknown(rows.select("cache_key"), rows.filter("ts < timestamp '2024-01-10'"))
 
 
-_MOCK = """CASE WHEN head IN ('rfl', 'decide', 'trivial', 'omega', 'norm_num', 'simp') THEN 'no goals' WHEN head IN ('intro', 'intros') THEN text || chr(10) || 'h : _' END"""
+_MOCK = """CASE WHEN head IN ('rfl', 'decide', 'trivial', 'omega', 'norm_num') OR head = 'simp' AND len(blocks) <= 1 THEN 'no goals'
+  WHEN head = 'simp' THEN array_to_string(blocks[1:len(blocks) - 1], chr(10) || chr(10)) WHEN head IN ('intro', 'intros') THEN text || chr(10) || 'h : _' END"""
 
 
 @query(
     "mock_verify",
-    f"""WITH c AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN 'rfl' WHEN 1 THEN 'intro h' WHEN 2 THEN 'simp' ELSE 'exact h' END AS tactic FROM conversations WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%'),
-h AS (SELECT *, split_part(tactic, ' ', 1) AS head FROM c)
+    f"""WITH c AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN 'rfl' WHEN 1 THEN 'intro h' WHEN 2 THEN 'simp' ELSE 'exact h' END AS tactic FROM conversations),
+h AS (SELECT *, split_part(tactic, ' ', 1) AS head, list_filter(string_split(text, chr(10) || chr(10)), lambda b: trim(b, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS blocks FROM c)
 SELECT conv_id, turn, {_MOCK} AS next_state, coalesce({_MOCK} = 'no goals', false) AS proof_finished, CASE WHEN {_MOCK} IS NULL THEN 'mock: unknown tactic ''' || head || '''' END AS error FROM h""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("turn") % 4
     tactic = F.when(m == 0, "rfl").when(m == 1, "intro h").when(m == 2, "simp").otherwise("exact h")
-    rows = table(spark, d, "conversations").filter(~F.col("text").contains("\n\n")).select("conv_id", "turn", verify.mock_verdict(F.col("text"), tactic).alias("r"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", verify.mock_verdict(F.col("text"), tactic).alias("r"))
     return rows.select("conv_id", "turn", "r.next_state", "r.proof_finished", "r.error")
 
 
