@@ -11,6 +11,8 @@ Probes travel packed: one compressed row for each slice of documents and hash ra
 each word, so the shuffle is about the size of the texts.  Within a slice copies are combined before that:
 what several documents of the slice share is marked at once and sent on as one entry, so a passage in a
 third of all documents costs a hash range one entry for each slice.  No pairs of documents are formed.
+Beyond ``FAN`` ranges packets go to as many coarse ranges first and are packed anew there, so that packets
+hold hundreds of entries however many ranges there are.
 
 Anchors are compared by 32 bits of a hash within one of the hash ranges, repeats by runs of 26 such
 anchors and a 64-bit key of the two that make up a window.  Defined cases: null text has no words; a null id has no order, so such rows stay
@@ -21,7 +23,7 @@ empty table gives an empty table; other columns pass through.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -41,9 +43,8 @@ BLOCK = 25
 SLICE_WORDS = 1_200_000
 #: Bytes of text for each hash range: a range's probes are held in one task's memory.
 RANGE_BYTES = 16_000_000
-MOST_RANGES = 60_000
-#: Bytes of an anchor's key in its range, and with its range.
-PROBE_BYTES, KEY_BYTES = 4, 6
+#: Ranges that a slice is cut into at once, and partitions of a shuffle.
+FAN, MOST_PARTITIONS = 2048, 50_000
 _ANCHOR, _MARKED = 1, 2
 
 
@@ -151,54 +152,98 @@ def match_windows(e: Entries) -> Entries:
     return combine_windows(e)[0]
 
 
-_PACKED = "part int, dest int, packed binary"
+_PACKED = "part int, marked boolean, packed binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("marked", pa.bool_()), ("packed", pa.binary())])
 
 
-def _rows(parts: list[int], dests: list[int | None], packed: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(dests, pa.int32()), pa.array(packed, pa.binary())], ["part", "dest", "packed"])
+class Route(NamedTuple):
+    """How entries reach the task that compares them: hash ranges for probes, groups of documents for marked ones.
+
+    ``whole`` are the bytes of a key, ``short`` those that tell keys of a range apart, ``marked`` those of
+    a marked entry's key; the lowest 24 bits of a key give its range.
+    """
+
+    ranges: int
+    fan: int
+    slice_words: int
+    whole: int
+    short: int
+    marked: int
+
+
+def _probe_route(ranges: int, fan: int, slice_words: int) -> Route:
+    return Route(ranges, fan, slice_words, 7, 4, 7)
+
+
+def _window_route(ranges: int, fan: int, slice_words: int) -> Route:
+    return Route(ranges, fan, slice_words, 8, 8, 0)
+
+
+def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    return (key & np.uint64(0xFFFFFF)) % np.uint64(ranges)
+
+
+def _coarse(number, r: Route):
+    return number * r.fan // r.ranges if r.ranges > r.fan else number
 
 
-def _cut_by(e: Entries, number: np.ndarray, most: int, key_bytes: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(numbers, packed entries of each) in some pieces; within a number in the order of document and position."""
+def _send(e: Entries, marked: bool, r: Route, fine: bool = False) -> Iterator[pa.RecordBatch]:
+    """Packed rows of entries, one for each range or group of documents; coarse ones where there are many, unless ``fine``."""
+    number = wordhash.mix(e.doc.view(np.uint64)) % np.uint64(r.ranges) if marked else _range_of(e.key, r.ranges)
+    width = r.marked if marked else r.whole
+    if r.ranges > r.fan and not fine:
+        number = number * np.uint64(r.fan) // np.uint64(r.ranges)
+    elif not marked and r.short < r.whole:
+        e, width = e._replace(key=e.key >> np.uint64(24)), r.short
     order = np.lexsort((e.pos, e.doc, number))
     e, number = e.take(order), number[order]
-    cuts = np.searchsorted(number, np.arange(most + 1, dtype=number.dtype))
-    some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
-    for k in range(0, len(some), 256):
-        yield some[k : k + 256], [pack(e.take(slice(cuts[x], cuts[x + 1])), key_bytes) for x in some[k : k + 256]]
+    starts = np.flatnonzero(np.diff(number.view(np.int64), prepend=-1)).tolist()
+    ends = [*starts[1:], len(number)]
+    for k in range(0, len(starts), 256):
+        own = [e.take(slice(a, b)) for a, b in zip(starts[k : k + 256], ends[k : k + 256], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(number[starts[k : k + 256]].astype(np.int32)), pa.array([marked] * len(own)), pa.array([pack(x, width) for x in own], pa.binary())], schema=_SCHEMA)
 
 
-def _by_doc(e: Entries, ranges: int, key_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of marked entries, one for each group of documents (``dest``); they pass through any hash range."""
-    dest = (wordhash.mix(e.doc.view(np.uint64)) % np.uint64(ranges)).astype(np.uint32)
-    for numbers, packed in _cut_by(e, dest, ranges, key_bytes):
-        yield _rows(numbers, numbers, packed)
+def _deal(packed: DataFrame, r: Route) -> DataFrame:
+    """Packets of coarse ranges packed anew for the fine ones; as they are if there are few."""
+    if r.ranges <= r.fan:
+        return packed
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[Entries]] = {False: [], True: []}
+        n = 0
 
-def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
-    return ((key & np.uint64(0xFFFFFF)) % np.uint64(ranges)).astype(np.uint32)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for marked, parts in held.items():
+                if parts:
+                    yield from _send(_join(parts), marked, r, True)
+                parts.clear()
 
+        for batch in batches:
+            for marked, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                e = unpack(raw)
+                held[marked].append(e)
+                n += len(e.doc)
+                if n >= r.slice_words:
+                    yield from flush()
+                    n = 0
+        yield from flush()
 
-def _by_range(e: Entries, ranges: int, key_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of entries to send, one for each hash range; a probe's key is the upper half of its hash."""
-    part = _range_of(e.key, ranges)
-    e = e._replace(key=e.key >> np.uint64(32) if key_bytes == PROBE_BYTES else e.key)
-    for numbers, packed in _cut_by(e, part, ranges, key_bytes):
-        yield _rows(numbers, [None] * len(numbers), packed)
+    return packed.repartition(r.fan, "part").mapInArrow(run, _PACKED)
 
 
-def _whole_key(key: np.ndarray, part: int | np.ndarray) -> np.ndarray:
-    """Keys of a range made global: 32 bits and the range."""
-    return key << np.uint64(16) | np.asarray(part, np.uint64)
+def _by_part(packed: DataFrame, r: Route) -> DataFrame:
+    return packed.repartition(min(r.ranges, MOST_PARTITIONS), "part")
 
 
-def _probes(docs: DataFrame, ranges: int, slice_words: int) -> DataFrame:
+def _probes(docs: DataFrame, r: Route) -> DataFrame:
     """Rolling windows of every document: marked ones by documents, the others by hash range."""
 
     def flush(held: list[Entries]) -> Iterator[pa.RecordBatch]:
+        whole = lambda e: e._replace(key=e.key >> np.uint64(32) << np.uint64(24) | _range_of(e.key, r.ranges))
         marked, sent = combine_probes(_join(held))
-        yield from _by_doc(marked._replace(key=_whole_key(marked.key >> np.uint64(32), _range_of(marked.key, ranges))), ranges, KEY_BYTES)
-        yield from _by_range(sent, ranges, PROBE_BYTES)
+        yield from _send(whole(marked), True, r)
+        yield from _send(whole(sent), False, r)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -211,7 +256,7 @@ def _probes(docs: DataFrame, ranges: int, slice_words: int) -> DataFrame:
                 pos = np.arange(len(h), dtype=np.uint32)
                 held.append(Entries(h, np.full(len(h), doc, np.int64), pos, (pos % BLOCK == 0).astype(np.uint8)))
                 n += len(h)
-                if n >= slice_words:
+                if n >= r.slice_words:
                     yield from flush(held)
                     held, n = [], 0
         if held:
@@ -220,20 +265,20 @@ def _probes(docs: DataFrame, ranges: int, slice_words: int) -> DataFrame:
     return docs.mapInArrow(run, _PACKED)
 
 
-def _meet(packed: DataFrame, ranges: int, match, key_bytes: int) -> DataFrame:
-    """(dest, packed) of what ``match`` finds in each hash range, and the marked rows as they are."""
+def _meet(packed: DataFrame, r: Route, match: Callable[[Entries], Entries]) -> DataFrame:
+    """Marked rows: what ``match`` finds in each hash range, and those that were marked before."""
 
     def run(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
-        marked = pc.is_valid(rows.column("dest"))
-        done, sent = rows.filter(marked), rows.filter(pc.invert(marked))
-        found = []
+        done, sent = rows.filter(rows.column("marked")), rows.filter(pc.invert(rows.column("marked")))
+        done = done.set_column(0, "part", pa.array([_coarse(part, r)] * done.num_rows, pa.int32()))
+        found: list[pa.RecordBatch] = []
         if sent.num_rows:
             e = match(_join([unpack(x) for x in sent.column("packed").to_pylist()]))
-            found = list(_by_doc(e._replace(key=_whole_key(e.key, part)) if key_bytes else e, ranges, key_bytes))
-        return pa.concat_tables([done, pa.Table.from_batches(found, done.schema)]).select(["dest", "packed"])
+            found = list(_send(e._replace(key=e.key << np.uint64(24) | np.uint64(part)) if r.short < r.whole else e, True, r))
+        return pa.concat_tables([done.cast(_SCHEMA), pa.Table.from_batches(found, _SCHEMA)])
 
-    return packed.repartition(ranges, "part").groupBy("part").applyInArrow(run, "dest int, packed binary")
+    return _by_part(_deal(packed, r), r).groupBy("part").applyInArrow(run, _PACKED)
 
 
 def _in_order(packed: list[bytes]) -> Entries:
@@ -245,8 +290,8 @@ def _in_order(packed: list[bytes]) -> Entries:
     return e.take(new)
 
 
-def _repeats(hits: DataFrame, ranges: int) -> DataFrame:
-    """From documents' hits: 50-word windows of maximal repeats, repeated ones by documents, others by hash range."""
+def _repeats(hits: DataFrame, of: Route, r: Route) -> DataFrame:
+    """From documents' hits (routed by ``of``): 50-word windows of maximal repeats, repeated ones by documents, others by hash range."""
 
     def run(rows: pa.Table) -> pa.Table:
         e = _in_order(rows.column("packed").to_pylist())
@@ -261,13 +306,13 @@ def _repeats(hits: DataFrame, ranges: int) -> DataFrame:
         found: list[pa.RecordBatch] = []
         if len(key):
             repeated, sent = combine_windows(Entries(key, e.doc[:k][whole], e.pos[:k][whole], np.zeros(len(key), np.uint8)))
-            found = [*_by_doc(repeated, ranges, 0), *_by_range(sent, ranges, 8)]
-        return pa.Table.from_batches(found, _rows([], [], []).schema)
+            found = [*_send(repeated, True, r), *_send(sent, False, r)]
+        return pa.Table.from_batches(found, _SCHEMA)
 
-    return hits.repartition(ranges, "dest").groupBy("dest").applyInArrow(run, _PACKED)
+    return _by_part(_deal(hits, of), of).groupBy("part").applyInArrow(run, _PACKED)
 
 
-def _spans(found: DataFrame, ranges: int) -> DataFrame:
+def _spans(found: DataFrame, r: Route) -> DataFrame:
     """(doc_id, spans): the word ranges that each document loses."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -282,15 +327,16 @@ def _spans(found: DataFrame, ranges: int) -> DataFrame:
         cuts = np.append(np.flatnonzero(other[first]), len(first))
         return pa.table({"doc_id": e.doc[np.flatnonzero(other)], "spans": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans)})
 
-    return found.repartition(ranges, "dest").groupBy("dest").applyInArrow(run, "doc_id bigint, spans array<struct<start:int,stop:int>>")
+    return _by_part(_deal(found, r), r).groupBy("part").applyInArrow(run, "doc_id bigint, spans array<struct<start:int,stop:int>>")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_words: int = SLICE_WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_words: int = SLICE_WORDS, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, spans): the word ranges that are removed, one row for each document that has some."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    ranges = max(1, min(MOST_RANGES, math.ceil(text_bytes(texts, "text") / range_bytes)))
-    hits = _meet(_probes(texts, ranges, slice_words), ranges, match_probes, KEY_BYTES)
-    return _spans(_meet(_repeats(hits, ranges), ranges, match_windows, 0), ranges)
+    ranges = max(1, math.ceil(text_bytes(texts, "text") / range_bytes))
+    probes, windows = _probe_route(ranges, fan, slice_words), _window_route(ranges, fan, slice_words)
+    hits = _meet(_probes(texts, probes), probes, match_probes)
+    return _spans(_meet(_repeats(hits, probes, windows), windows, match_windows), windows)
 
 
 def cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:

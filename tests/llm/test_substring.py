@@ -52,7 +52,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"slice_words": 300, "range_bytes": 2000}, {"slice_words": 3000, "range_bytes": 30_000}])
+@pytest.mark.parametrize("sizes", [{}, {"slice_words": 300, "range_bytes": 2000}, {"slice_words": 3000, "range_bytes": 30_000}, {"slice_words": 500, "range_bytes": 3000, "fan": 4}])
 def test_planted(spark, sizes):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
