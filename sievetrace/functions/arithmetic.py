@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once for each row and hand it to ``body``; inside of lambdas an expression is evaluated at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -30,8 +35,8 @@ def distance(a: Column, b: Column) -> Column:
 
 def softmax(a: Column) -> Column:
     """Softmax, shifted by the largest value."""
-    shifted = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, v: s + v))
+    shifted = let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x.cast("double") - m)))
+    return let(shifted, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(a: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievetrace.functions.arithmetic import let
+
 #: Feature buckets, n-gram orders and the weight of goal grams (fixed values).
 BUCKETS = 8192
 ORDERS = (2, 3, 4)
@@ -50,7 +52,11 @@ def hash_split(name: Column, seed: int = 42, train: float = 0.8, val: float = 0.
 
 def ngrams(c: Column, n: int) -> Column:
     """Array of the character n-grams of a text; empty where it is shorter."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def of(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))
+
+    return F.when(F.length(c) >= n, let(F.filter(F.split(c, ""), lambda x: x != ""), of)).otherwise(F.array().cast("array<string>"))
 
 
 def padded_trigrams(c: Column) -> Column:

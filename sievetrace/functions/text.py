@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievetrace.functions.arithmetic import let
+
 #: Words that no kept action may hold (fixed values).
 FORBIDDEN = ("sorry", "admit", "unsafe")
 #: Heads of actions that count as automation (fixed values).
@@ -13,6 +19,8 @@ AUTOMATION = ("simp", "simp_all", "aesop", "omega", "linarith", "nlinarith", "ri
 NO_GOALS = "no goals"
 PLACEHOLDER_STATE = "<verified by lean-cli>"
 DIAGNOSTICS_LIMIT = 1500
+#: White space that is stripped (fixed values: Unicode's, and the four separators of ASCII).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def truthy(c: Column) -> Column:
@@ -22,12 +30,12 @@ def truthy(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at the ends, by Unicode's notion of it."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lstrip(c: Column) -> Column:
     """Without white space at the start."""
-    return F.regexp_replace(c, r"(?U)^\s+", "")
+    return F.ltrim(c, F.lit(WHITE))
 
 
 def lines(c: Column) -> Column:
@@ -35,14 +43,18 @@ def lines(c: Column) -> Column:
     return F.split(c, r"\R")
 
 
+def _without(mark: str) -> Callable[[Column], Column]:
+    return lambda x: F.when((F.length(x) >= 2) & x.startswith(mark) & x.endswith(mark), strip(F.substr(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+
+
 def clean_line(c: Column) -> Column:
     """One proposal line without comment, list mark, enclosing quotes and stray backticks."""
-    c = F.regexp_replace(c, r"(?U)\s*--.*$", "")
-    c = F.regexp_replace(c, r"(?U)^\s*\d+[.)]\s+", "")
-    c = strip(F.regexp_replace(c, r"(?U)^\s*[-*+]\s+", ""))
+    c = let(c, lambda x: F.when(x.contains("--"), F.regexp_replace(x, r"(?U)\s*--.*$", "")).otherwise(x))
+    c = let(lstrip(c), lambda x: F.when(x.rlike("^[0-9*+-]"), F.regexp_replace(F.regexp_replace(x, r"(?U)^\d+[.)]\s+", ""), r"(?U)^\s*[-*+]\s+", "")).otherwise(x))
+    c = strip(c)
     for mark in ("`", '"', "'"):
-        c = strip(F.regexp_replace(c, rf"(?s)^{mark}(.*){mark}\z", "$1"))
-    return strip(F.regexp_replace(c, "^`+|`+$", ""))
+        c = let(c, _without(mark))
+    return strip(F.btrim(c, F.lit("`")))
 
 
 def split_proposals(raw: Column, blocks: bool = False) -> Column:
@@ -55,27 +67,31 @@ def split_proposals(raw: Column, blocks: bool = False) -> Column:
 
 def contains_forbidden(c: Column) -> Column:
     """Whether a forbidden word stands there as a whole word, in any case."""
-    return F.coalesce(F.lower(c).rlike(rf"(?U)\b({'|'.join(FORBIDDEN)})\b"), F.lit(False))
+    low = F.lower(c)
+    there = reduce(or_, (low.contains(w) for w in FORBIDDEN))  # most texts have none: no pattern is run on them
+    return F.coalesce(there & low.rlike(rf"(?U)\b({'|'.join(FORBIDDEN)})\b"), F.lit(False))
 
 
 def clean_candidate(c: Column) -> Column:
     """A proposal: a single line is cleaned; of a block the first line is, and the others stay."""
-    c = F.regexp_replace(c, r"(?U)\s+$", "")
+    c = F.rtrim(c, F.lit(WHITE))
     return strip(F.concat(clean_line(F.regexp_extract(c, r"^[^\n]*", 0)), F.regexp_replace(c, r"^[^\n]*", "")))
 
 
 def clean_candidates(array: Column) -> Column:
     """Struct of kept proposals and what fell away: cleaned, first of equals, without forbidden words."""
     cleaned = F.filter(F.transform(F.filter(array, lambda x: x.isNotNull()), clean_candidate), lambda x: F.length(x) > 0)
-    distinct = F.array_distinct(cleaned)
-    kept = F.filter(distinct, lambda x: ~contains_forbidden(x))
-    return F.struct(
-        kept.alias("kept"),
-        F.size(array).alias("raw"),
-        F.size(cleaned).alias("clean"),
-        (F.size(cleaned) - F.size(distinct)).alias("duplicates"),
-        (F.size(distinct) - F.size(kept)).alias("forbidden"),
-    )
+
+    def told(clean: Column, distinct: Column, kept: Column) -> Column:
+        return F.struct(
+            kept.alias("kept"),
+            F.size(array).alias("raw"),
+            F.size(clean).alias("clean"),
+            (F.size(clean) - F.size(distinct)).alias("duplicates"),
+            (F.size(distinct) - F.size(kept)).alias("forbidden"),
+        )
+
+    return let(cleaned, lambda c: let(F.array_distinct(c), lambda d: let(F.filter(d, lambda x: ~contains_forbidden(x)), lambda k: told(c, d, k))))
 
 
 def head(c: Column) -> Column:

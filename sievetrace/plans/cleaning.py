@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievetrace.functions import text
+from sievetrace.functions.arithmetic import let
 from sievetrace.plans.registry import query
 from sievetrace.plans.tables import table
 
@@ -32,16 +33,12 @@ c5 AS (SELECT doc_id, i, CASE WHEN length(x) >= 2 AND starts_with(x, '''') AND e
 c AS (SELECT doc_id, i, trim(trim(x, '`')) AS x FROM c5)"""
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
-    return rows.select("doc_id", "i", _marked(F.col("x"), F.col("i")).alias("x"))
-
-
 @query("clean_lines", f"WITH {_LINES_SQL} SELECT doc_id, count(*) AS n_lines, CAST(sum(length(x)) AS BIGINT) AS n_chars, sha256(string_agg(x, chr(10) ORDER BY i)) AS digest FROM c WHERE x <> '' GROUP BY doc_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    cleaned = _lines(spark, d).select("doc_id", "i", text.clean_candidate(F.col("x")).alias("x")).filter("x <> ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]), "\n")
-    return cleaned.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("x")).alias("n_chars"), F.sha2(joined, 256).alias("digest"))
+    marked = F.transform(F.split("text", "\n"), _marked)
+    kept = F.filter(F.transform(marked, text.clean_candidate), lambda x: x != "")
+    told = let(kept, lambda k: F.struct(F.size(k).cast("long").alias("n_lines"), F.length(F.array_join(k, "")).cast("long").alias("n_chars"), F.sha2(F.array_join(k, "\n"), 256).alias("digest")))
+    return table(spark, d, "documents").select("doc_id", F.inline(F.filter(F.array(told), lambda t: t["n_lines"] > 0)))
 
 
 @query(
@@ -50,9 +47,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     marked = F.transform(F.split("text", "\n"), _marked)
-    rows = table(spark, d, "documents").select("doc_id", text.clean_candidates(marked).alias("c")).filter("c.clean > 0")
-    as_long = lambda c, name: F.col(f"c.{c}").cast("long").alias(name)
-    return rows.select("doc_id", as_long("clean", "n_clean"), as_long("duplicates", "n_duplicates"), as_long("forbidden", "n_forbidden"), F.size("c.kept").cast("long").alias("n_kept"))
+    some = F.filter(F.array(text.clean_candidates(marked)), lambda c: c["clean"] > 0)
+    rows = table(spark, d, "documents").select("doc_id", F.inline(some))  # a filter after it would clean twice
+    as_long = lambda c, name: F.col(c).cast("long").alias(name)
+    return rows.select("doc_id", as_long("clean", "n_clean"), as_long("duplicates", "n_duplicates"), as_long("forbidden", "n_forbidden"), F.size("kept").cast("long").alias("n_kept"))
 
 
 @query("clean_forbidden", "SELECT lang, count(*) FILTER (regexp_matches(lower(text), '\\b(sorry|admit|unsafe)\\b')) AS n_forbidden, count(*) AS n FROM documents GROUP BY lang")

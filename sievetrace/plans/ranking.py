@@ -76,7 +76,7 @@ SELECT CAST(truth AS VARCHAR) AS family, count(*) AS n_rows, count(*) AS n_theor
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     flagged = _flags(spark, d)
-    families = flagged.select("theorem_name", F.col("ground_truth_tactic").alias("family"))
+    families = table(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("theorem_name"), F.col("label").cast("string").alias("family"))
     return metrics.by_family(flagged, families).select("family", "n_rows", "n_theorems", "pass_at_1", "pass_at_5", "passed_5")
 
 
