@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -219,7 +219,8 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def _described(docs: DataFrame, path_free: Callable[[bytes], np.ndarray]) -> DataFrame:
+def _described(docs: DataFrame) -> DataFrame:
+    """(row_id, doc_id, set_key, n, bands, values): each row's shingle set by its digest, size, buckets and MinHash values."""
     schema = "row_id bigint, doc_id bigint, set_key binary, n int, bands array<bigint>, `values` binary"
     fields = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
 
@@ -230,7 +231,7 @@ def _described(docs: DataFrame, path_free: Callable[[bytes], np.ndarray]) -> Dat
                 part = batch.slice(k, 1024)
                 rows: list[tuple] = []
                 for text in part.column(1):
-                    own = path_free(text.as_buffer().to_pybytes()) if text.is_valid else ()
+                    own = shingles(text.as_buffer().to_pybytes()) if text.is_valid else ()
                     if len(own):
                         values = minhash(own)
                         rows.append((set_key(own), len(own), band_keys(values), short_values(values)))
@@ -301,7 +302,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest id that chains of links reach) and n_links (other documents at 0.8 or more, copies too) of each row."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = table(_described(own.filter("doc_id is not null"), shingles))
+    described = table(_described(own.filter("doc_id is not null")))
     sets = described.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("rep_id"), F.count("*").alias("weight"))
     sets = table(sets)
     nodes = table(described.join(merged(sets.select(F.col("node").alias("row_id"), "node")), "row_id").select("node", "n", "bands", "values"))

@@ -86,7 +86,7 @@ def lace(frames: list[bytes], form: int) -> bytes:
     if form == 1:
         for f in frames[:-1]:
             head += b"\xff" * (len(f) // 255) + bytes([len(f) % 255])
-    elif form == 3:
+    elif form == 3 and len(frames) > 1:
         head += size_vint(len(frames[0]))
         for a, b in zip(frames, frames[1:-1], strict=False):
             head += _signed_vint(len(b) - len(a))
