@@ -36,6 +36,17 @@ def decode(ids: list[int], chars: dict[int, str]) -> str:
     return "".join(chars[i] for i in ids[:cut] if i in chars)
 
 
+def truncated(rows: DataFrame, col: str, most: int) -> DataFrame:
+    """One row: texts longer than a model's input, and all texts."""
+    return rows.agg(F.count_if(F.length(col) > most).alias("truncated"), F.count("*").alias("n"))
+
+
+def library(rows: DataFrame, col: str) -> DataFrame:
+    """(idx, text): distinct texts in order, whose latents samples snap to; a model's own, so bounded."""
+    texts = rows.select(F.col(col).alias("text")).distinct()
+    return texts.withColumn("idx", (F.row_number().over(Window.orderBy("text")) - 1).cast("int"))
+
+
 def latent_statistics(rows: DataFrame, vector: str) -> DataFrame:
     """(dim, mean, std): sample deviation, at least 0.001."""
     each = rows.select(F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from sievetrace.functions.hashing import nul_joined_key
 from sievetrace.functions.text import NO_GOALS, count_goals, strip
 from sievetrace.operators.lookup import unknown
+from sievetrace.schema import ACTION_SLOT
 
 #: Heads that close a goal for the rule-based verifier (fixed values).
 FINISHERS = ("rfl", "decide", "trivial", "omega", "norm_num")
@@ -87,7 +89,23 @@ def check_sources(rows: DataFrame, source: str, checker: Callable[[str], dict])
     return rows.mapInPandas(run, f"{schema}, {VERDICT}")
 
 
-def run_sessions(rows: DataFrame, open_session: Callable[[], Session]) -> DataFrame:
+def within(seconds: float | None, work: Callable[[], dict]) -> dict:
+    """The result of ``work``, or an error for a timeout or an exception; a thread that is late is left behind."""
+    found: list[dict] = []
+
+    def run() -> None:
+        try:
+            found.append(work())
+        except Exception as e:  # a verifier's crash is that action's error
+            found.append({"error": f"exception: {e}", "num_goals": 0})
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    return found[0] if found else {"error": "timeout", "num_goals": 0}
+
+
+def run_sessions(rows: DataFrame, open_session: Callable[[], Session], timeout_s: float | None = None) -> DataFrame:
     """Results of actions on states (theorem_name, state, tactic), a session for each theorem of a partition, closed at the end."""
     names = rows.columns
 
@@ -99,10 +117,7 @@ def run_sessions(rows: DataFrame, open_session: Callable[[], Session]) -> DataFr
                 try:
                     session.start(own.iloc[0].to_dict())
                     for row in own.itertuples(index=False):
-                        try:
-                            result = session.run(row.state, row.tactic)
-                        except Exception as e:  # a verifier's crash is that action's error
-                            result = {"error": f"exception: {e}"}
+                        result = within(timeout_s, lambda s=row.state, t=row.tactic: session.run(s, t))
                         out.append((*row, result.get("next_state"), bool(result.get("proof_finished")), result.get("num_goals"), result.get("error"), result.get("elapsed_ms")))
                 finally:
                     session.close()
@@ -112,6 +127,30 @@ def run_sessions(rows: DataFrame, open_session: Callable[[], Session]) -> DataFr
     return rows.repartition("theorem_name").sortWithinPartitions("theorem_name").mapInPandas(run, f"{schema}, {RESULT}")
 
 
+def runnable(seeds: DataFrame) -> DataFrame:
+    """``problem``: why a seed can't be rendered (no template, or no place for the action in it); null if it can."""
+    slot = F.coalesce("placeholder", F.lit(ACTION_SLOT))
+    missing = F.coalesce(F.length("template"), F.lit(0)) == 0
+    return seeds.withColumn("problem", F.when(missing, "no template").when(~F.col("template").contains(slot), "no placeholder in the template"))
+
+
+def example_source(statement: Column, action: Column) -> Column:
+    """The file that checks an action for a bare statement."""
+    return F.concat(F.lit("example "), statement, F.lit(" := by\n  "), action, F.lit("\n"))
+
+
+def verifier(backend: str, **options):
+    """What checks actions for a backend in any spelling: column rules, a command, or sessions; ValueError for another."""
+    name = backend.strip().lower().replace("_", "-")
+    if name == "mock":
+        return mock_verdict
+    if name == "lean-cli":
+        return Subprocess(**options).check
+    if name == "leandojo":
+        return lambda rows: run_sessions(rows, **options)
+    raise ValueError(f"unknown backend {backend!r}")
+
+
 def verdict_key(name: str = "theorem_name", action: str = "tactic") -> Column:
     """The key that a verdict is remembered by."""
     return nul_joined_key(F.col(name), F.col(action))

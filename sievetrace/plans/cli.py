@@ -69,7 +69,9 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     found = ranker.fit(train).transform(held, metrics.top_k(a.top_k))
     flagged = metrics.flags(with_verified(found, verified_sets(every)))
     flagged.write.mode("overwrite").json(f"{a.out}/predictions")
-    _show(metrics.metrics(flagged))
+    told = metrics.metrics(flagged)
+    jsonl.to_json(told).coalesce(1).write.mode("overwrite").text(f"{a.out}/metrics")
+    _show(told)
 
 
 def _corpus(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -31,6 +31,28 @@ def test_loglinear(spark):
     assert got == {1: ["split", "left"], 2: ["left", "split"]}
 
 
+def test_loglinear_saved(spark, tmp_path):
+    train = spark.createDataFrame([(k, "n", "s", f"⊢ {'and' if k % 2 else 'or'}", "split" if k % 2 else "left") for k in range(8)], EXAMPLES)
+    rank.LogLinear(iterations=5, buckets=64).fit(train).save(str(tmp_path / "m"))
+    asked = spark.createDataFrame([(1, "s", "⊢ and")], "row_id bigint, theorem_statement string, state_before string")
+    assert rank.LogLinear(buckets=64).load(str(tmp_path / "m")).transform(asked, 1).first().predictions == ["split"]
+
+
+def test_tfidf(spark):
+    corpus = spark.createDataFrame([(0, "exact h"), (1, "intro x"), (2, "exact y")], "item int, t string")
+    rows = rank.word_gram_rows(corpus, "item", F.col("t"))
+    assert {r.gram for r in rows.filter("item = 0").collect()} == {" e", "ex", "xa", "ac", "ct", "t ", " ex", "exa", "xac", "act", "ct ", " exa", "exac", "xact", "act ", " h", "h ", " h "}
+    q = rank.word_gram_rows(spark.createDataFrame([(9, "exact h")], "q int, t string"), "q", F.col("t"))
+    got = {r.item: r.score for r in rank.gram_cosine(rank.tfidf(q, rows, "q"), rank.tfidf(rows, rows, "item"), "q", "item").collect()}
+    assert got[0] == pytest.approx(1) and 0 < got[2] < 1 and 1 not in got
+
+
+def test_failures(spark):
+    rows = spark.createDataFrame([(1, "t", ["a", "b", "a"]), (2, "t", ["b"])], "row_id int, theorem_name string, predictions array<string>")
+    verdicts = spark.createDataFrame([("t", "a", "no"), ("t", "b", None)], "theorem_name string, tactic string, error string")
+    assert [(r.row_id, r.tactic) for r in metrics.failures(rows, verdicts).collect()] == [(1, "a")]
+
+
 def test_nearest(spark):
     lib = spark.createDataFrame([(0, "zero", [0.0, 0.0]), (1, "ten", [10.0, 10.0]), (2, "neg", [-5.0, -5.0]), (3, "zero again", [0.0, 0.0])], "i int, text string, v array<double>")
     asked = spark.createDataFrame([(1, [0.1, -0.1]), (2, [-4.0, -6.0])], "q int, z array<double>")
@@ -112,4 +134,5 @@ def test_vocabulary_and_latents(spark):
     assert [(r.t, r["rank"]) for r in ranked.orderBy("rank").collect()] == [("b", 1), ("a", 2)]
     model = generate.predict(spark.createDataFrame([("ab",)], "p string"), "p", lambda: lambda prompt: [prompt[::-1]])
     assert model.first().predictions == ["ba"]
-    assert F is not None
+    assert [(r.idx, r.text) for r in generate.library(spark.createDataFrame([("b",), ("a",), ("b",)], "t string"), "t").orderBy("idx").collect()] == [(0, "a"), (1, "b")]
+    assert tuple(generate.truncated(spark.createDataFrame([("abc",), ("a",)], "t string"), "t", 2).first()) == (1, 2)

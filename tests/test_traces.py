@@ -238,6 +238,16 @@ def test_subprocess_and_sessions(spark):
     assert got == {"x": ("sx", False, None), "crash": (None, False, "exception: gone"), "end": ("send", True, None)}
 
 
+def test_backends(spark):
+    assert verify.verifier("Mock") is verify.mock_verdict and verify.verifier("lean_cli", command=["true"])("x")["success"]
+    with pytest.raises(ValueError):
+        verify.verifier("other")
+    assert verify.within(0.1, lambda: __import__("time").sleep(3)) == {"error": "timeout", "num_goals": 0}
+    seeds = spark.createDataFrame([("by __TACTIC__", None), ("by X", "X"), ("by X", None), (None, None)], "template string, placeholder string")
+    assert [r.problem for r in verify.runnable(seeds).collect()] == [None, None, "no placeholder in the template", "no template"]
+    assert spark.range(1).select(verify.example_source(F.lit(": True"), F.lit("trivial"))).first()[0] == "example : True := by\n  trivial\n"
+
+
 def test_proposers(spark):
     states = spark.createDataFrame([("t", "s", "⊢ p"), ("u", "s", "⊢ p")], "theorem_name string, theorem_statement string, state string")
     first, again = ([r.candidates for r in proposers.mock(states, 4).orderBy("theorem_name").collect()] for _ in range(2))
