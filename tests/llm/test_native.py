@@ -146,3 +146,19 @@ def test_chat(spark):
         assert r.mask == (r.speaker == r.perspective)
         assert r.segment[r.train_start : r.train_end] == ((r.segment.split("\n", 1)[1].removesuffix("\n")) if r.mask else "")
     assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_working_tables(spark):
+    from sievetrace.llm import runtime
+
+    kept = runtime.table(spark.range(3).toDF("a"))
+    with runtime.recorded():
+        gone = runtime.table(spark.range(3).toDF("a"))
+        read = runtime.table(spark.range(4).toDF("a"))
+    runtime.release(read.filter("a > 0"))
+    assert kept.count() == 3 and read.count() == 4 and gone.inputFiles()
+    with pytest.raises(Exception):
+        gone.count()
+    runtime.release(kept)
+    with pytest.raises(Exception):
+        read.count()
