@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievetrace.llm.runtime import SPACES, let, table
+from sievetrace.functions.arithmetic import let
+from sievetrace.llm.runtime import SPACES, table
 
 LEAST_WORDS = 20
 #: Words in repeated windows, in hundredths of all words, above which a document fails.
