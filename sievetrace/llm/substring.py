@@ -229,11 +229,12 @@ def _deal(packed: DataFrame, r: Route) -> DataFrame:
                     n = 0
         yield from flush()
 
-    return packed.repartition(r.fan, "part").mapInArrow(run, _PACKED)
+    return packed.repartitionById(r.fan, F.col("part")).mapInArrow(run, _PACKED)
 
 
 def _by_part(packed: DataFrame, r: Route) -> DataFrame:
-    return packed.repartition(min(r.ranges, MOST_PARTITIONS), "part")
+    """A partition for each range, or as many ranges for each: hashing would put several into one and none into others."""
+    return packed.repartitionById(min(r.ranges, MOST_PARTITIONS), F.col("part"))
 
 
 def _probes(docs: DataFrame, r: Route) -> DataFrame:
