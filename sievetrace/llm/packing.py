@@ -179,7 +179,7 @@ class Packer:
 
     def _emit(self, pieces: list[tuple], tier: int) -> None:
         offset, seq = 0, self.base | self.made
-        step = self.base | tier << 20 | self.of_tier[tier] * tier // self.step_tokens
+        step = self.base | self.tiers.index(tier) << 28 | self.of_tier[tier] * tier // self.step_tokens  # the partition, the tier's place, the group
         for key, ids, a, b in pieces:
             self.rows.append((key, a, b - a, len(ids), seq, offset, tier, step, ids[a:b].tobytes()))
             offset += b - a

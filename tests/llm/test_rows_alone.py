@@ -171,3 +171,14 @@ def test_packing_the_corpus(spark):
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert byte_bpe.digests(none).count() == matroska.digests(none).count() == packing.pieces(none).count() == 0
+
+
+def test_step_groups_of_many_partitions(spark):
+    """No two partitions share a step group, so none is above STEP_TOKENS."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4, "doc_id")
+    steps, parts = defaultdict(int), defaultdict(set)
+    for r in packing.pieces(docs).collect():
+        steps[r.step_group] += r["length"]
+        parts[r.step_group].add((r.sequence_id >> 32, r.tier))
+    assert len({p for own in parts.values() for p, _ in own}) == 4
+    assert max(steps.values()) <= packing.STEP_TOKENS and all(len(own) == 1 for own in parts.values())
