@@ -220,9 +220,9 @@ def merged(df: DataFrame) -> DataFrame:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, set_key, n, bands, values): each row's shingle set by its digest, size, buckets and MinHash values."""
-    schema = "row_id bigint, doc_id bigint, set_key binary, n int, bands array<bigint>, `values` binary"
-    fields = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
+    """(row_id, doc_id, text_key, set_key, n, bands, values): each row's text key, and its shingle set by digest, size, buckets and MinHash values."""
+    schema = "row_id bigint, doc_id bigint, text_key bigint, set_key binary, n int, bands array<bigint>, `values` binary"
+    fields = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -239,7 +239,7 @@ def _described(docs: DataFrame) -> DataFrame:
                         rows.append((None, 0, None, None))
                 ids = np.arange(at, at + len(rows))
                 at += len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column(0), *(pa.array([r[c] for r in rows], fields.types[c + 2]) for c in range(4))], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column(0), part.column(2), *(pa.array([r[c] for r in rows], fields.types[c + 3]) for c in range(4))], schema=fields)
 
     return docs.mapInArrow(run, schema)
 
@@ -299,10 +299,9 @@ def _shingled(texts: DataFrame) -> DataFrame:
     return texts.select("component", "count", "node", "weight", "set_key", "text").mapInArrow(run, "component bigint, `count` bigint, node bigint, weight bigint, `set` binary")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest id that chains of links reach) and n_links (other documents at 0.8 or more, copies too) of each row."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = table(_described(own.filter("doc_id is not null")))
+def _classed(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Described rows of (doc_id, text, text_key) and, for each shingle set, class_node (the class itself), class_id and n_links."""
+    described = table(_described(own.filter("doc_id is not null").select("doc_id", "text", "text_key")))
     sets = described.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("rep_id"), F.count("*").alias("weight"))
     sets = table(sets)
     nodes = table(described.join(merged(sets.select(F.col("node").alias("row_id"), "node")), "row_id").select("node", "n", "bands", "values"))
@@ -319,22 +318,40 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = table(connected_components(checked, "node", "root"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     least = parts.join(sets, "node").groupBy("component").agg(F.min("rep_id").alias("class_id"))
-    named = parts.join(least, "component").select("node", "class_id")
+    named = parts.join(least, "component").select("node", F.col("component").alias("class_node"), "class_id")
     known = sets.join(links, "node", "left").join(named, "node", "left")
-    known = known.select("set_key", F.coalesce("class_id", "rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return described, known.select("set_key", F.coalesce("class_node", "node").alias("class_node"), F.coalesce("class_id", "rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the smallest id that chains of links reach) and n_links (other documents at 0.8 or more, copies too) of each row."""
+    own = _own(docs, id_col, text_col)
+    described, known = _classed(own)
     found = described.select("doc_id", "set_key").join(merged(known), "set_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     lost = own.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.union(lost).withColumnRenamed("doc_id", id_col)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one row of each class, that with the class's id; rows with a null id stay."""
-    key = "own key"
-    firsts = classes(docs, id_col, text_col).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(key)).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias(key), F.col(id_col).isNull().alias("no id"))
-    kept = rows.filter(~F.col("no id")).join(merged(firsts), key, "left_semi")
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(key))).filter("nth = 1")
+    """All columns of one row of each class, of its smallest id and then text key; rows with a null id stay.
+
+    Rows are told apart by id and text: rows with the same id stay if their classes differ.  A text without
+    shingles is a class of its own.  Of rows equal in both, the first by its other columns stays.
+    """
+    key, text_key = "own key", "own text key"
+    described, known = _classed(_own(docs, id_col, text_col))
+    first = F.min(F.struct(F.col("doc_id").alias(key), F.col("text_key").alias(text_key))).alias("first")
+    firsts = described.select("doc_id", "text_key", "set_key").join(merged(known.select("set_key", "class_node")), "set_key").groupBy("class_node").agg(first).select("first.*")
+    firsts = firsts.union(described.filter("set_key is null").select("doc_id", "text_key").distinct())
+    other = F.to_json(F.struct(F.lit(0).alias("own order"), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col))))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias(key), F.xxhash64(text_col).alias(text_key), other.alias("other"), F.col(id_col).isNull().alias("no id"))
+    kept = rows.filter(~F.col("no id")).join(merged(firsts), [key, text_key], "left_semi")
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(key, text_key).orderBy("other"))).filter("nth = 1")
     return kept.select("row.*").union(rows.filter("`no id`").select("row.*"))
 
 

@@ -114,3 +114,17 @@ def test_exact_links():
     want = [[a != b and 5 * len({*x.tolist()} & {*y.tolist()}) >= 4 * len({*x.tolist()} | {*y.tolist()}) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
     assert jaccard.linked(sets).tolist() == want and any(map(any, want))
     assert jaccard.linked(sets[:2]).tolist() == [r[:2] for r in want[:2]]
+
+
+def test_same_id_different_texts(spark):
+    """Rows that share an id are documents of their own where their texts differ: one row of each class stays."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = words(100), words(60), words(60)
+    near = " ".join([*a[:-1], "other"])
+    a, b, c = " ".join(a), " ".join(b), " ".join(c)
+    rows = [(3, near, "s"), (7, a, "s"), (7, b, "s"), (7, b, "r"), (9, c, "s"), (9, b, "s"), (5, "", "s"), (5, None, "s"), (5, c, "s"), (None, a, "s")]
+    want = sorted([(3, near, "s"), (7, b, "r"), (5, "", "s"), (5, None, "s"), (5, c, "s"), (None, a, "s")], key=str)
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, source string").repartition(3)
+        assert sorted(map(tuple, jaccard.keep_first(docs).collect()), key=str) == want
