@@ -16,8 +16,9 @@ hold hundreds of entries however many ranges there are.
 
 Anchors are compared by 32 bits of a hash within one of the hash ranges, repeats by runs of 26 such
 anchors and a 64-bit key of the two that make up a window.  Defined cases: null text has no words; a null id has no order, so such rows stay
-as they are; rows with the same id are repeats of one document and don't remove from each other; texts of fewer than 50 words stay; an
-empty table gives an empty table; other columns pass through.
+as they are; rows with the same id don't remove from each other, and each loses its own repeats: where their texts differ, the
+texts stand at places of their own in one range of word positions (at most 4 GB of different texts for an id, else an error);
+texts of fewer than 50 words stay; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievetrace.llm import wordhash
-from sievetrace.llm.runtime import text_bytes
+from sievetrace.llm.runtime import table, text_bytes
 
 WINDOW = 50
 #: Any window of 50 words holds a whole block of 25 that starts at a multiple of 25.
@@ -45,6 +46,8 @@ SLICE_WORDS = 1_200_000
 RANGE_BYTES = 16_000_000
 #: Ranges that a slice is cut into at once, and partitions of a shuffle.
 FAN, MOST_PARTITIONS = 2048, 50_000
+#: Word positions of a document.
+MOST_POSITIONS = (1 << 31) - 1
 _ANCHOR, _MARKED = 1, 2
 
 
@@ -114,8 +117,9 @@ def _shared(e: Entries, g: Groups) -> tuple[np.ndarray, np.ndarray]:
     """For each ordered entry: whether its key stands in several documents, and whether one of them is an index block."""
     doc = e.doc[g.order]
     several = np.minimum.reduceat(doc, g.first) != np.maximum.reduceat(doc, g.first)
-    anchor = np.bitwise_or.reduceat(e.bits[g.order], g.first) & _ANCHOR
-    return several[g.group], anchor[g.group]
+    bits = np.bitwise_or.reduceat(e.bits[g.order], g.first)
+    several |= bits & _MARKED > 0  # one entry stands for several documents, its own among them
+    return several[g.group], (bits & _ANCHOR)[g.group]
 
 
 def combine_probes(e: Entries) -> tuple[Entries, Entries]:
@@ -249,13 +253,13 @@ def _probes(docs: DataFrame, r: Route) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 h = wordhash.words(text.as_buffer().to_pybytes())
                 if len(h) < WINDOW:
                     continue
                 h = wordhash.windows(h, BLOCK)
                 pos = np.arange(len(h), dtype=np.uint32)
-                held.append(Entries(h, np.full(len(h), doc, np.int64), pos, (pos % BLOCK == 0).astype(np.uint8)))
+                held.append(Entries(h, np.full(len(h), doc, np.int64), pos + np.uint32(at), (pos % BLOCK == 0).astype(np.uint8)))
                 n += len(h)
                 if n >= r.slice_words:
                     yield from flush(held)
@@ -331,18 +335,52 @@ def _spans(found: DataFrame, r: Route) -> DataFrame:
     return _by_part(_deal(found, r), r).groupBy("part").applyInArrow(run, "doc_id bigint, spans array<struct<start:int,stop:int>>")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_words: int = SLICE_WORDS, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
-    """(doc_id, spans): the word ranges that are removed, one row for each document that has some."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
+def _places(texts: DataFrame) -> DataFrame | None:
+    """(doc_id, text_key, at): the first word position of texts that share an id with others, if not 0; None if no id has several."""
+    keyed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), (F.octet_length("text") / 2 + WINDOW + 1).cast("long").alias("room"))
+    several = table(keyed.groupBy("doc_id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low < high").select("doc_id"))
+    if several.isEmpty():
+        return None
+    each = keyed.join(several, "doc_id", "left_semi").groupBy("doc_id", "text_key").agg(F.max("room").alias("room"))
+    end = F.sum("room").over(Window.partitionBy("doc_id").orderBy("text_key"))
+    places = table(each.withColumn("end", end).select("doc_id", "text_key", (F.col("end") - F.col("room")).alias("at"), "end"))
+    if not places.filter(F.col("end") > MOST_POSITIONS).isEmpty():
+        raise ValueError("the different texts of one id hold more words than a document has positions")
+    return places.filter("at > 0").drop("end")
+
+
+def _placed(rows: DataFrame, key: str, text: str, places: DataFrame | None) -> DataFrame:
+    """Rows with ``at``, the first word position of their text."""
+    if places is None:
+        return rows.withColumn("at", F.lit(0).cast("long"))
+    own = places.select(F.col("doc_id").alias(key), F.col("text_key").alias("own text key"), F.col("at").alias("own place"))
+    placed = rows.withColumn("own text key", F.xxhash64(text)).join(own, [key, "own text key"], "left")
+    return placed.withColumn("at", F.coalesce("own place", F.lit(0))).drop("own text key", "own place")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_words: int = SLICE_WORDS, range_bytes: int = RANGE_BYTES, fan: int = FAN, places: DataFrame | None = None) -> DataFrame:
+    """(doc_id, spans): the word ranges that are removed, one row for each document that has some; positions by ``places``."""
+    texts = _texts(docs, id_col, text_col)
     ranges = max(1, math.ceil(text_bytes(texts, "text") / range_bytes))
     probes, windows = _probe_route(ranges, fan, slice_words), _window_route(ranges, fan, slice_words)
-    hits = _meet(_probes(texts, probes), probes, match_probes)
+    placed = _placed(texts, "doc_id", "text", places).select("doc_id", "text", "at")
+    hits = _meet(_probes(placed, probes), probes, match_probes)
     return _spans(_meet(_repeats(hits, probes, windows), windows, match_windows), windows)
 
 
-def cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+def own_spans(spans: list[dict] | None, at: int, words: int) -> list[dict] | None:
+    """Of a document's ranges those of the text at a position, counted from its first word."""
+    return spans and [{"start": s["start"] - at, "stop": s["stop"] - at} for s in spans if at <= s["start"] < at + words]
+
+
+def cut(raw: bytes, spans: list[dict] | None, at: int = 0) -> tuple[bytes, int, int]:
     """A text without the words of some ranges (and the white space after them), its words and those removed."""
     starts, _ = wordhash.spans(raw)
+    spans = own_spans(spans, at, len(starts))
     if not spans:
         return raw, len(starts), 0
     bounds = [*starts.tolist(), len(raw)]
@@ -361,19 +399,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out:
     Rows are only joined to the windows that they lose; ``sizes`` go to :func:`removed_spans`.
     """
     names = docs.columns
-    spans = removed_spans(docs, id_col, text_col, **sizes)
+    places = _places(_texts(docs, id_col, text_col))
+    spans = removed_spans(docs, id_col, text_col, **sizes, places=places)
     key = "own key"
     joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).cast("long").alias(key), F.col(text_col).alias("own text"))
-    joined = joined.join(spans.withColumnRenamed("doc_id", key).hint("merge"), key, "left").select("row", "own text", "spans")
+    joined = _placed(joined, key, "own text", places).join(spans.withColumnRenamed("doc_id", key).hint("merge"), key, "left").select("row", "own text", "spans", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone = [], [], []
-            for text, lost in zip(batch.column(1), batch.column(2), strict=True):
+            for text, lost, at in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 if not text.is_valid:
                     new, n, m = None, 0, 0
                 else:
-                    new, n, m = cut(text.as_buffer().to_pybytes(), lost.as_py())
+                    new, n, m = cut(text.as_buffer().to_pybytes(), lost.as_py(), at)
                 texts.append(new)
                 counts.append(n)
                 gone.append(m)

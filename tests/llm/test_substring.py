@@ -83,3 +83,16 @@ def test_packing_of_entries():
     e = substring.Entries(np.array([5, 1 << 39, 7], "u8"), np.array([-3, -3, 1 << 60], "i8"), np.array([9, 70_000, 2], "u4"), np.array([1, 0, 3], "u1"))
     for a, b in zip(substring.unpack(substring.pack(e, 5)), e):
         assert a.tolist() == b.tolist()
+
+
+@pytest.mark.parametrize("sizes", [{}, {"slice_words": 300, "range_bytes": 2000}])
+def test_same_id_different_texts(spark, sizes):
+    """Each row is judged on its own text, whatever other rows have its id."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, other = words(70), words(60)
+    rows = [(1, passage + words(20)), (7, words(10) + passage + words(5)), (7, words(120)), (7, words(40) + passage), (9, passage + words(3)), (7, other + words(9)), (4, other), (8, words(75)), (8, other + passage), (7, words(5))]
+    rows += [rows[1], rows[5], *((100 + k % 5, words(k) + passage[k:] + words(30)) for k in range(15))]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(7, None), (None, " ".join(passage))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(map(tuple, substring.digests(docs, **sizes).collect()), key=str) == brute(rows)
