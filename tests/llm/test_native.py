@@ -162,3 +162,12 @@ def test_working_tables(spark):
     runtime.release(kept)
     with pytest.raises(Exception):
         read.count()
+
+
+def test_quoted_refresh_target(spark):
+    """A refresh whose target is quoted inside of content carries a block."""
+    meta = lambda content: f'<meta http-equiv="refresh" content={content}>'
+    contents = ('"0; url=\'http://a.example.com/de/1\'"', "'0;URL=\"http://a.example.com/de/1\"'", '"0; url=http://a.example.com/de/1"')
+    rows = [(1, "http://a.example.com/de/1", "")] + [(k, f"http://r{k}.example.com/x", meta(c)) for k, c in enumerate(contents, 2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages).collect()} == dict.fromkeys((1, 2, 3, 4), "block")
