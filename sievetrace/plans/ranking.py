@@ -191,5 +191,5 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "benchmark").select(F.col("item_id").alias("train_id"), F.lit("b").alias("theorem_statement"), F.col("text").alias("state_before"), F.when(F.length("text") > 180, "long").otherwise("short").alias("tactic"))
     asked = docs.select(F.col("train_id").alias("row_id"), "theorem_statement", "state_before", F.col("tactic").alias("truth"))
-    found = rank.LogLinear(iterations=10, buckets=512).fit(docs).transform(asked, 2)
+    found = rank.LogLinear().fit(docs).transform(asked, 2)
     return found.groupBy("truth").agg(F.count("*").alias("n"), F.count_if(F.get("predictions", F.lit(0)) == F.col("truth")).alias("right"))

@@ -136,3 +136,20 @@ def test_vocabulary_and_latents(spark):
     assert model.first().predictions == ["ba"]
     assert [(r.idx, r.text) for r in generate.library(spark.createDataFrame([("b",), ("a",), ("b",)], "t string"), "t").orderBy("idx").collect()] == [(0, "a"), (1, "b")]
     assert tuple(generate.truncated(spark.createDataFrame([("abc",), ("a",)], "t string"), "t", 2).first()) == (1, 2)
+
+
+def test_loglinear_query_uses_the_defaults(spark, monkeypatch):
+    from sievetrace.plans import registry
+
+    made = []
+    own = rank.LogLinear.__init__
+
+    def record(self, *args, **options):
+        own(self, *args, **options)
+        made.append((self.iterations, self.buckets))
+        raise InterruptedError
+
+    monkeypatch.setattr(rank.LogLinear, "__init__", record)
+    with pytest.raises(InterruptedError):
+        registry.queries()["loglinear_fit"](spark, "/root/testdata/sf0.001")
+    assert made == [(50, rank.BUCKETS)]
