@@ -7,7 +7,8 @@ unsigned 8-bit track; its blocks take the lacing forms in turn.
 
 Defined cases: null text is the empty text; a payload is padded with bytes 0 to a positive multiple of
 64, so there is always a packet; malformed media gives null packets and payload and a reason in
-``error``; rows are independent (repeated ids stay, an empty table gives an empty table).
+``error`` (integers of more than 8 bytes are malformed); rows are independent (repeated ids stay, an empty
+table gives an empty table); columns are added under names of their own, with ``_`` after one that is taken.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievetrace.llm.runtime import free_name
+
 ALIGN = 64
 RATE = 8000
 FRAME = 1024  # samples; 128 ms
@@ -33,12 +36,12 @@ INFO, TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x1549A966, 0x2AD7B1, 0x4489, 0
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 DEFAULT_DURATION = 0x23E383
 AUDIO, SAMPLING_RATE, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 LACING = ("none", "xiph", "fixed", "ebml")  # by the two lacing bits
 
-PACKETS = "array<struct<track:int,timestamp_ms:double,byte_start:bigint,byte_end:bigint,lacing:string,keyframe:boolean,cued:boolean>>"
-_PACKET = pa.struct([("track", pa.int32()), ("timestamp_ms", pa.float64()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("lacing", pa.string()), ("keyframe", pa.bool_()), ("cued", pa.bool_())])
+PACKETS = "array<struct<track:bigint,timestamp_ms:double,byte_start:bigint,byte_end:bigint,lacing:string,keyframe:boolean,cued:boolean>>"
+_PACKET = pa.struct([("track", pa.int64()), ("timestamp_ms", pa.float64()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("lacing", pa.string()), ("keyframe", pa.bool_()), ("cued", pa.bool_())])
 
 
 class Packet(NamedTuple):
@@ -113,16 +116,17 @@ def write(payload: bytes) -> bytes:
     info = element(INFO, element(TIMESTAMP_SCALE, 1_000_000) + element(MUXER, "sievetrace") + element(WRITER, "sievetrace") + element(DURATION, len(payload) * 1000 / RATE))
     track = element(TRACK_NUMBER, 1) + element(TRACK_UID, 1) + element(TRACK_TYPE, 2) + element(CODEC_ID, "A_PCM/INT/LIT") + element(DEFAULT_DURATION, ms * 1_000_000)
     track += element(AUDIO, element(SAMPLING_RATE, float(RATE)) + element(CHANNELS, 1) + element(BIT_DEPTH, 8))
-    body = info + element(TRACKS, element(TRACK_ENTRY, track))
-    cues = b""
+    parts = [info, element(TRACKS, element(TRACK_ENTRY, track))]
+    at, cues = sum(map(len, parts)), []
     for c in range(0, len(blocks), BLOCKS_PER_CLUSTER):
         own = blocks[c : c + BLOCKS_PER_CLUSTER]
         start = own[0][0] * ms
-        cues += element(CUE_POINT, element(CUE_TIME, start) + element(CUE_POSITIONS, element(CUE_TRACK, 1) + element(CUE_CLUSTER, len(body))))
-        body += element(CLUSTER, element(CLUSTER_TIME, start) + b"".join(element(SIMPLE_BLOCK, b"\x81" + struct.pack(">h", k * ms - start) + b) for k, b in own))
-    body += element(CUES, cues)
+        cues.append(element(CUE_POINT, element(CUE_TIME, start) + element(CUE_POSITIONS, element(CUE_TRACK, 1) + element(CUE_CLUSTER, at))))
+        parts.append(element(CLUSTER, element(CLUSTER_TIME, start) + b"".join(element(SIMPLE_BLOCK, b"\x81" + struct.pack(">h", k * ms - start) + b) for k, b in own)))
+        at += len(parts[-1])
+    parts.append(element(CUES, b"".join(cues)))
     head = element(EBML, element(0x4286, 1) + element(0x42F7, 1) + element(0x42F2, 4) + element(0x42F3, 8) + element(DOC_TYPE, "matroska") + element(0x4287, 4) + element(0x4285, 2))
-    return head + element(SEGMENT, body)
+    return head + element(SEGMENT, b"".join(parts))
 
 
 # -- reading
@@ -169,11 +173,14 @@ def children(data: bytes, start: int, end: int, in_cluster: bool = False) -> Ite
 
 
 def _number(data: bytes, start: int, end: int) -> int:
+    if end - start > 8:
+        raise ValueError(f"integer of {end - start} bytes at {start}")
     return int.from_bytes(data[start:end], "big")
 
 
 def _float(data: bytes, start: int, end: int) -> float:
-    return {0: lambda: 0.0, 4: lambda: struct.unpack(">f", data[start:end])[0], 8: lambda: struct.unpack(">d", data[start:end])[0]}[end - start]()
+    form = {0: None, 4: ">f", 8: ">d"}[end - start]
+    return struct.unpack(form, data[start:end])[0] if form else 0.0
 
 
 def unlace(data: bytes, start: int, end: int, form: int) -> list[tuple[int, int]]:
@@ -200,10 +207,10 @@ def unlace(data: bytes, start: int, end: int, form: int) -> list[tuple[int, int]
             elif k == 0:
                 size, at = _vint(data, at)
             else:
-                width = 9 - data[at].bit_length()
-                raw = int.from_bytes(data[at : at + width], "big") & (1 << 7 * width) - 1
-                size = sizes[-1] + raw - ((1 << 7 * width - 1) - 1)
-                at += width
+                first = at
+                raw, at = _vint(data, at, True)
+                width = at - first
+                size = sizes[-1] + (raw & (1 << 7 * width) - 1) - ((1 << 7 * width - 1) - 1)
             sizes.append(size)
         sizes.append(end - at - sum(sizes))
     if min(sizes) < 0:
@@ -219,7 +226,7 @@ def parse(data: bytes) -> dict:
     """Doc type, tracks, cues and packets of a Matroska file; ValueError if it is malformed."""
     try:
         return _parse(data)
-    except (IndexError, KeyError, struct.error) as e:
+    except (IndexError, KeyError, OverflowError, struct.error) as e:
         raise ValueError(f"malformed: {e!r}") from e
 
 
@@ -271,14 +278,21 @@ def _parse(data: bytes) -> dict:
             if i == CLUSTER_TIME:
                 base = _number(data, p, q)
             elif i in (SIMPLE_BLOCK, BLOCK_GROUP):
-                p, q = (p, q) if i == SIMPLE_BLOCK else next((r, s) for j, _, r, s in children(data, p, q) if j == BLOCK)
+                refers = None
+                if i == BLOCK_GROUP:
+                    within = {j: (r, s) for j, _, r, s in children(data, p, q)}
+                    p, q = within[BLOCK]  # a group without one is malformed
+                    refers = REFERENCE_BLOCK in within
                 track, p = _vint(data, p)
+                if track < 0 or p + 3 > q:
+                    raise ValueError(f"block at {p} has no track or header")
                 time = base + struct.unpack(">h", data[p : p + 2])[0]
                 flags = data[p + 2]
+                key = not refers if i == BLOCK_GROUP else bool(flags & 0x80)
                 form = flags >> 1 & 3
                 step = tracks.get(track, {}).get("default_ns", 0) / 1e6
                 for n, (r, s) in enumerate(unlace(data, p + 3, q, form)):
-                    packets.append(Packet(track, time * scale / 1e6 + n * step, r, s, LACING[form], bool(flags & 0x80) or i == BLOCK_GROUP, at - seg in cued))
+                    packets.append(Packet(track, time * scale / 1e6 + n * step, r, s, LACING[form], key, at - seg in cued))
     return {"doc_type": doc_type, "duration_ms": duration * scale / 1e6, "tracks": tracks, "cues": cues, "clusters": len(found), "packets": packets}
 
 
@@ -309,9 +323,15 @@ def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def demux(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns of ``media`` and its packets, the joined payload, a feature line and an error; no shuffle."""
+    """All columns of ``media`` and packets, the joined payload, a feature line and an error; no shuffle.
+
+    A keyframe is a simple block that says so, or a block group that refers to no other block.
+    """
     names = [f.name for f in media.schema]
     at = names.index(media_col)
+    added = []
+    for name in ("packets", "payload", "feature", "error"):
+        added.append(free_name(name, [*names, *added]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,10 +345,11 @@ def demux(media: DataFrame, media_col: str = "media") -> DataFrame:
                     except ValueError as e:
                         rows.append((None, None, None, str(e)))
                 new = [pa.array([r[n] for r in rows], kind) for n, kind in enumerate((pa.list_(_PACKET), pa.binary(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, "packets", "payload", "feature", "error"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{schema}, packets {PACKETS}, payload binary, feature string, error string")
+    kinds = (PACKETS, "binary", "string", "string")
+    return media.mapInArrow(run, ", ".join([schema, *(f"`{n}` {kind}" for n, kind in zip(added, kinds, strict=True))]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

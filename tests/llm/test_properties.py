@@ -36,6 +36,32 @@ def test_junk_is_an_error_or_a_file(data):
         pass
 
 
+IDS = [getattr(matroska, n) for n in ("EBML", "DOC_TYPE", "SEGMENT", "INFO", "TIMESTAMP_SCALE", "DURATION", "TRACKS", "TRACK_ENTRY", "TRACK_NUMBER", "CODEC_ID", "DEFAULT_DURATION", "CLUSTER", "CLUSTER_TIME", "SIMPLE_BLOCK", "BLOCK_GROUP", "BLOCK", "REFERENCE_BLOCK", "CUES", "CUE_POINT", "CUE_TIME", "CUE_POSITIONS", "CUE_TRACK", "CUE_CLUSTER")]
+LEAF = st.tuples(st.sampled_from(IDS), st.one_of(st.binary(max_size=12), st.binary(min_size=4, max_size=30).map(lambda b: b"\x81" + b)))
+TREE = st.recursive(LEAF, lambda inner: st.tuples(st.sampled_from(IDS), st.lists(inner, max_size=4)), max_leaves=12)
+
+
+def encoded(node):
+    """A tree of (id, bytes or children) as elements."""
+    ident, body = node
+    return matroska.element(ident, body if isinstance(body, bytes) else b"".join(map(encoded, body)))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(TREE, max_size=4), st.lists(TREE, max_size=4), st.lists(TREE, max_size=4), st.booleans())
+def test_odd_contents_of_whole_elements(top, inside, blocks, unknown):
+    """Well-formed elements in any order with any contents: packets in the file, or a ValueError."""
+    cluster = b"".join(map(encoded, blocks))
+    cluster = matroska.CLUSTER.to_bytes(4, "big") + b"\xff" + cluster if unknown else matroska.element(matroska.CLUSTER, cluster)
+    data = b"".join(map(encoded, top)) + matroska.element(matroska.SEGMENT, b"".join(map(encoded, inside)) + cluster)
+    try:
+        found = matroska.parse(data)
+    except ValueError:
+        return
+    assert all(0 <= p.track < 1 << 56 and 0 <= p.byte_start <= p.byte_end <= len(data) for p in found["packets"])
+    matroska.features(data, found)
+
+
 @few
 @given(st.integers(0, (1 << 56) - 2))
 def test_sizes(n):

@@ -97,11 +97,100 @@ def test_media_unknown_sizes_groups_and_faults():
             matroska.parse(bad)
 
 
+def malformed():
+    """Files that go wrong in one place each."""
+    e, m = matroska.element, matroska
+    seg = lambda *parts: e(m.SEGMENT, b"".join(parts))
+    cluster = lambda *parts: e(m.CLUSTER, e(m.CLUSTER_TIME, 1) + b"".join(parts))
+    return [
+        seg(cluster(e(m.BLOCK_GROUP, e(m.REFERENCE_BLOCK, 1)))),  # a group without a block
+        seg(e(m.INFO, e(m.TIMESTAMP_SCALE, b"\x01" * 200)), cluster(e(m.SIMPLE_BLOCK, b"\x81\0\0\0x"))),  # an integer of 200 bytes
+        seg(e(m.INFO, e(m.DURATION, b"abc"))), seg(e(m.TRACKS, e(m.TRACK_ENTRY, e(m.CODEC_ID, "x")))), seg(e(m.CUES, e(m.CUE_POINT, e(m.CUE_POSITIONS, e(m.CUE_TRACK, 1))))),
+        seg(cluster(e(m.SIMPLE_BLOCK, b"\x81\0"))), seg(cluster(e(m.SIMPLE_BLOCK, b"\xff\0\0\0x"))), seg(cluster(e(m.SIMPLE_BLOCK, b"\x81\0\0\x06\x02\0"))),
+        e(m.EBML, e(m.DOC_TYPE, b"\xff\xfe")) + seg(cluster()),
+    ]
+
+
 def test_demux_reports_faults(spark):
-    df = spark.createDataFrame([(1, bytearray(matroska.write(b"y" * 64))), (2, bytearray(b"junk")), (3, None)], "doc_id bigint, media binary")
-    got = {r.doc_id: r for r in matroska.demux(df).collect()}
-    assert got[1].payload == b"y" * 64 and got[1].error is None and len(got[1].packets) == 1
-    assert all(got[k].packets is None and got[k].error for k in (2, 3))
+    bad = malformed()
+    rows = [(1, bytearray(matroska.write(b"y" * 64)), "mine", 1), (2, bytearray(b"junk"), None, 2), (3, None, None, 3), *((4 + k, bytearray(f), None, 0) for k, f in enumerate(bad))]
+    df = spark.createDataFrame(rows, "doc_id bigint, media binary, Error string, payload int")
+    found = matroska.demux(df)
+    assert found.columns == [*df.columns, "packets", "payload_", "feature", "error_"]
+    got = {r.doc_id: r for r in found.collect()}
+    assert got[1].payload_ == b"y" * 64 and got[1].error_ is None and got[1].Error == "mine" and got[2].payload == 2 and len(got[1].packets) == 1
+    assert all(got[k].packets is None and got[k].payload_ is None and got[k].error_ for k in range(2, 4 + len(bad)))
+
+
+def test_large_track_numbers_and_keyframes(spark):
+    e, m = matroska.element, matroska
+    block = m.size_vint((1 << 40) + 5) + b"\0\0"
+    file = e(m.SEGMENT, e(m.CLUSTER, e(m.CLUSTER_TIME, 3) + e(m.BLOCK_GROUP, e(m.BLOCK, block + b"\0a")) + e(m.BLOCK_GROUP, e(m.BLOCK, block + b"\0b") + e(m.REFERENCE_BLOCK, 1)) + e(m.SIMPLE_BLOCK, block + b"\x80c") + e(m.SIMPLE_BLOCK, block + b"\0d")))
+    row = m.demux(spark.createDataFrame([(bytearray(file),)], "media binary")).first()
+    assert [(p.track, p.keyframe) for p in row.packets] == [((1 << 40) + 5, k) for k in (True, False, True, False)] and row.payload == b"abcd"
+
+
+def read_alone(data):
+    """(payload, number of blocks, clusters) of a file by a reader of its own: known sizes, ids by their first byte."""
+    def elements(a, b):
+        while a < b:
+            k = 9 - data[a].bit_length()
+            ident, a = data[a : a + k], a + k
+            k = 9 - data[a].bit_length()
+            n, a = int.from_bytes(data[a : a + k], "big") - (1 << 7 * k), a + k
+            yield ident, a, a + n
+            a += n
+
+    def frames(a, b):
+        form, a = data[a + 3] >> 1 & 3, a + 4
+        if form == 0:
+            return data[a:b]
+        n, a = data[a], a + 1  # sizes of all frames but the last
+        if form == 1:
+            for _ in range(n):
+                while data[a] == 255:
+                    a += 1
+                a += 1
+        elif form == 3:
+            for _ in range(n):
+                a += 9 - data[a].bit_length()
+        return data[a:b]
+
+    (_, _, head_end), (ident, a, b) = elements(0, len(data))
+    assert ident == b"\x18\x53\x80\x67" and b == len(data) and a > head_end
+    clusters = [(x, y) for i, x, y in elements(a, b) if i == b"\x1f\x43\xb6\x75"]
+    blocks = [(x, y) for c in clusters for i, x, y in elements(*c) if i == b"\xa3"]
+    return b"".join(frames(*x) for x in blocks), len(blocks), len(clusters)
+
+
+def test_stored_form_by_another_reader(docs):
+    """media_sha256 and feature are of a file that a second reader reads back to the same payload."""
+    texts = {**dict(enumerate(TEXTS)), None: "no id", "long": "word " * 60_000}
+    media = {r.doc_id: bytes(r.media) for r in matroska.mux(docs).collect()}
+    media["long"] = matroska.write(texts["long"].encode().ljust(300_032, b"\0"))
+    digests = {r.doc_id: r for r in matroska.digests(docs).collect()}
+    for key, file in media.items():
+        payload, blocks, clusters = read_alone(file)
+        raw = (texts[key] or "").encode()
+        assert payload == raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        told = dict(x.split("=") for x in matroska.features(file, matroska.parse(file)).split(";")[1:])
+        forms = {f: int(told[f]) for f in matroska.LACING}
+        assert int(told["clusters"]) == int(told["cues"]) == clusters and int(told["packets"]) == sum(forms.values()) == -(-len(payload) // matroska.FRAME)
+        assert float(told["duration_ms"]) == pytest.approx(len(payload) / 8, rel=1e-5) and float(told["last_ms"]) == pytest.approx(128 * (int(told["packets"]) - 1), rel=1e-5)
+        if key != "long":
+            assert digests[key].media_sha256 == hashlib.sha256(file).hexdigest() and digests[key].media_bytes == len(file)
+
+
+def test_writing_takes_time_in_proportion():
+    import time
+
+    took = []
+    for size in (4_000_000, 32_000_000):
+        began = time.process_time()
+        file = matroska.write(bytes(size))
+        took.append(time.process_time() - began)
+        assert len(file) > size
+    assert took[1] < 24 * max(took[0], 0.02)  # 8 times the size; its square would be 64 times
 
 
 def check_packing(texts, rows):
