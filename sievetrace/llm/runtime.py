@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,38 +15,64 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where driver and tasks share folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+        named = spark.sparkContext.getCheckpointDir()
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = named or tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/sievetrace-{spark.sparkContext.applicationId}"
 
 
-#: Folders of tables that were written inside of recorded() and not released yet.
-_recorded: list[str] = []
-_recording = False
+#: Folders of tables that were written inside of recorded() and not released yet, with the step that wrote them.
+_recorded: dict[str, int] = {}
+_recording: int | None = None
 
 
 @contextmanager
-def recorded() -> Iterator[None]:
+def recorded(step: int = 0) -> Iterator[None]:
     """Remember the tables that are written inside, for release()."""
     global _recording
-    before, _recording = _recording, True
+    before, _recording = _recording, step
     try:
         yield
     finally:
         _recording = before
 
 
-def release(docs: DataFrame) -> None:
-    """Delete the recorded tables but those that ``docs`` reads; for a step whose input has been written and read again."""
+def _status(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(docs: DataFrame, step: int = 1) -> None:
+    """Delete the tables that earlier steps than ``step`` recorded, if ``docs`` was written after them.
+
+    For a step whose input is the written result of the step before.  Tables that ``docs`` reads stay, and so do
+    those that are newer than its files: their step's result may not have been read yet.
+    """
     spark = docs.sparkSession
-    read = docs.inputFiles() if _recorded else []
-    for path in [p for p in _recorded if not any(p.rpartition("/")[2] in f for f in read)]:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        _recorded.remove(path)
+    old = [p for p, s in _recorded.items() if s < step]
+    read = docs.inputFiles() if old else []
+    if not read:
+        return
+    where, fs = _status(spark, read[0])
+    written = fs.getFileStatus(where).getModificationTime()
+    for path in [p for p in old if not any(p.rpartition("/")[2] in f for f in read)]:
+        where, fs = _status(spark, path)
+        if not fs.exists(where) or fs.getFileStatus(where).getModificationTime() <= written:
+            fs.delete(where, True)
+            del _recorded[path]
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, or with as many ``_`` after it as make it differ from the names that are taken, in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -58,8 +84,8 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _recording:
-        _recorded.append(path)
+    if _recording is not None:
+        _recorded[path] = _recording
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -151,17 +151,37 @@ def test_chat(spark):
 def test_working_tables(spark):
     from sievetrace.llm import runtime
 
-    kept = runtime.table(spark.range(3).toDF("a"))
-    with runtime.recorded():
-        gone = runtime.table(spark.range(3).toDF("a"))
-        read = runtime.table(spark.range(4).toDF("a"))
-    runtime.release(read.filter("a > 0"))
-    assert kept.count() == 3 and read.count() == 4 and gone.inputFiles()
+    make = lambda n=3: runtime.table(spark.range(n).toDF("a"))
+    kept = make()
+    with runtime.recorded(0):
+        gone, read = make(), make(4)
+    with runtime.recorded(2):
+        later = make()
+    runtime.release(read.filter("a > 0"), 1)  # its input was written after ``gone``
+    assert kept.count() == 3 and read.count() == 4 and later.count() == 3 and gone.inputFiles()
     with pytest.raises(Exception):
         gone.count()
-    runtime.release(kept)
+    runtime.release(kept, 1)  # older than ``read``, whose step's result may not have been read
+    assert read.count() == 4
+    runtime.release(make(), 1)
     with pytest.raises(Exception):
         read.count()
+    assert later.count() == 3
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace as N
+
+    from sievetrace.llm import runtime
+
+    context = lambda master: N(getCheckpointDir=lambda: None, master=master, applicationId="app")
+    unset = lambda master: N(conf=N(get=lambda *_: None, set=lambda *_: None), sparkContext=context(master))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(unset("spark://host:7077"))
+    with pytest.raises(ValueError):
+        runtime.shared_dir(unset("local-cluster[2,1,1024]"))
+    assert runtime.shared_dir(unset("local[2]")).endswith("/sievetrace-app")
+    assert runtime.free_name("error", ["Error", "error_"]) == "error__" and runtime.free_name("a", "b") == "a"
 
 
 def test_quoted_refresh_target(spark):
