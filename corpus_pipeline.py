@@ -29,47 +29,50 @@ from sievetrace.llm.runtime import recorded, release, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _alone(stage: Stage) -> Stage:
-    """A stage that first deletes the working tables of earlier ones, but what its input reads."""
+def _alone(place: int) -> Callable[[Stage], Stage]:
+    """A stage, by its place, that first deletes the working tables of earlier ones, but what its input reads or is older than."""
 
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(docs)
-        with recorded():
-            return stage(spark, docs, sf_dir)
+    def of(stage: Stage) -> Stage:
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            release(docs, place)
+            with recorded(place):
+                return stage(spark, docs, sf_dir)
 
-    return run
+        return run
+
+    return of
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
-@_alone
+@_alone(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own and their host's rules."""
     return quality.keep_good(docs)
 
 
-@_alone
+@_alone(1)
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return jaccard.keep_first(docs)
 
 
-@_alone
+@_alone(2)
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a smaller id has too."""
     return _counted(substring.dedup(docs, out="what went").select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
-@_alone
+@_alone(3)
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
     return _counted(secrets.redact(docs))
 
 
-@_alone
+@_alone(4)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return packing.pieces(docs)
