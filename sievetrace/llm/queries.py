@@ -24,7 +24,7 @@ def queries() -> dict[str, Query]:
         "op4_media_columns": lambda s, d: matroska.digests(_docs(s, d)),
         "op5_quality_rules": lambda s, d: quality.measured(_docs(s, d)),
         "op6_sharding": lambda s, d: sharding.shards(_docs(s, d)),
-        "op7_chat_formatting": lambda s, d: chat.rotate(s.read.parquet(f"{d}/conversations.parquet")),
+        "op7_chat_formatting": lambda s, d: chat.rendered(s.read.parquet(f"{d}/conversations.parquet")),
         "op8_secret_scans": lambda s, d: secrets.findings(_docs(s, d)),
         "op9_packing": lambda s, d: packing.pieces(_docs(s, d)),
         "op10_byte_bpe": lambda s, d: byte_bpe.digests(_docs(s, d)),
