@@ -2,13 +2,18 @@
 
 A page's URL is judged by the longest rule that fits.  Pages without a rule take their aliases' decision:
 a page's normal form (host in lower case; no scheme, fragment or tracking parameters) is joined by the
-targets of its canonical links and of its refresh redirects, and connected components over those edges
-carry decisions.  A component with a blocked member blocks its members that have no rule of their own,
-unless a member is explicitly allowed: an allow takes precedence.  Components without a block allow.
+targets of its canonical links and of its refresh redirects, and by those of a table of redirects if there
+is one, and connected components over those edges carry decisions.  A component with a blocked member blocks
+its members that have no rule of their own, unless a member is explicitly allowed: an allow takes precedence.
+Components without a block allow.
+
+A short list of rules is part of the plan; a longer one, or a table of rules of any size, is joined: by the
+suffixes of hosts first, then by the prefixes of paths that have a length which some rule of that host has.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no rule and is its own
-component (allowed); a null html declares no aliases; repeated pages are judged alike, each row once;
-an empty table gives an empty table; other columns are ignored.
+component (allowed); a null html declares no aliases; a rule that is given with both verdicts allows; a null
+end of a redirect is no edge; repeated pages are judged alike, each row once; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from sievetrace.llm.runtime import table
 
 #: (verdict, host and path prefix) of the registered query; fixed values.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Rules are literals of the plan: a longer list is refused.
-MOST_RULES = 1000
+#: Rules that are literals of the plan; a longer list is joined as a table, with the same results.
+MOST_LITERALS = 200
 #: Query parameters that don't change a page.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 
@@ -55,16 +60,38 @@ def normal_form(url: Column) -> Column:
 
 def rule(h: Column, p: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
     """Struct of the longest fitting rule and its verdict; null if none fits."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+    for verdict, text in sorted(rules, key=lambda r: (len(r[1]), r[1], r[0] == "allow")):
         name, _, prefix = text.partition("/")
         fits = ((h == name) | h.endswith(f".{name}")) & p.startswith(f"/{prefix}")
         out = F.when(fits, F.struct(F.lit(text).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
+def joined_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, found) of the distinct (host, path) that a rule of the table (verdict, rule) fits: :func:`rule` as joins."""
+    split = F.regexp_extract("rule", r"(?s)^([^/]*)/?(.*)$", 2)
+    rules = rules.filter("rule is not null and verdict is not null").groupBy("rule").agg(F.min("verdict").alias("verdict"))  # 'allow' is before 'block'
+    rules = rules.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("name"), F.concat(F.lit("/"), split).alias("prefix"))
+    lengths = rules.groupBy("name").agg(F.collect_set(F.length("prefix")).alias("lengths"))  # at most as many as a path has characters
+    urls = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    hosts = urls.select("host").distinct().select("host", F.explode(suffixes).alias("name")).join(lengths, "name")
+    tried = urls.join(hosts, "host").select("host", "path", "name", F.explode("lengths").alias("n")).filter(F.col("n") <= F.length("path"))
+    fits = tried.withColumn("prefix", F.substring("path", F.lit(1), F.col("n"))).join(rules, ["name", "prefix"])
+    return fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("found"))
+
+
+def _found(urls: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame) -> DataFrame:
+    """``urls`` (host, path, ...) with ``found``."""
+    if isinstance(rules, DataFrame):
+        return urls.join(joined_rules(urls, rules), ["host", "path"], "left")
+    if len(rules) > MOST_LITERALS:
+        return _found(urls, urls.sparkSession.createDataFrame(list(rules), "verdict string, rule string"))
+    return urls.withColumn("found", rule(F.col("host"), F.col("path"), rules))
+
+
 def _absolute(target: Column, url: Column) -> Column:
     """A link as an absolute URL: absolute, ``//host``, ``/path`` and relative forms."""
     target = F.replace(target, F.lit("&amp;"), F.lit("&"))
@@ -78,25 +105,42 @@ def _absolute(target: Column, url: Column) -> Column:
     )
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, host, path, rule, verdict, and component (the smallest normal form; null without a host) of each page."""
+def judge(
+    pages: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None
+) -> DataFrame:
+    """id, host, path, rule and verdict of each page, and how aliases had a part in it.
+
+    ``component`` is the smallest normal form among the aliases and ``members`` their number (null without a host);
+    ``decided_by`` is the alias whose rule decides a page without a rule: the smallest allowed one of those that a
+    block would reach, else the smallest blocked one; null where no alias is blocked.  ``rules`` is a list or a table
+    (verdict, rule), ``redirects`` a table (from_url, to_url).
+    """
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
     links = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), 1), F.regexp_extract_all(html, F.lit(_REFRESH), 1))
-    seen = pages.select(F.col(id_col), host(url).alias("host"), path(url).alias("path"), normal_form(url).alias("node"), F.transform(links, lambda t: _absolute(t, url)).alias("targets"))
-    seen = table(seen.withColumn("found", rule(F.col("host"), F.col("path"), rules)))
+    seen = pages.select(F.col(id_col).alias("page"), host(url).alias("host"), path(url).alias("path"), normal_form(url).alias("node"), F.transform(links, lambda t: _absolute(t, url)).alias("targets"))
+    seen = table(_found(seen, rules))
     aliases = seen.filter("node is not null and size(targets) > 0").select("node", F.explode("targets").alias("to"))
-    aliases = aliases.select("node", normal_form(F.col("to")).alias("target"), rule(host(F.col("to")), path(F.col("to")), rules).alias("found")).filter("target is not null")
+    if redirects is not None:
+        told = redirects.select(F.col("from_url").alias("from"), F.col("to_url").alias("to")).filter("from is not null and to is not null")
+        aliases = aliases.union(told.select(normal_form(F.col("from")).alias("node"), "to")).union(told.select(normal_form(F.col("to")), "from")).filter("node is not null")
+    aliases = aliases.select("node", normal_form(F.col("to")).alias("target"), host(F.col("to")).alias("host"), path(F.col("to")).alias("path")).filter("target is not null")
+    aliases = table(_found(aliases, rules))
     parts = connected_components(aliases, "node", "target")
 
     facts = seen.select("node", "found").union(aliases.select("target", "found")).filter("node is not null and found is not null")
-    facts = facts.groupBy("node").agg(F.max(F.col("found.verdict") == "block").alias("block"), F.max(F.col("found.verdict") == "allow").alias("allow"))
-    facts = facts.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.max("block").alias("block"), F.max("allow").alias("allow"))
-    blocked = facts.filter("block and not allow").select("component", F.lit("block").alias("inherited"))
+    ruled = lambda verdict: F.min(F.when(F.col("found.verdict") == verdict, F.col("node"))).alias(verdict)
+    facts = facts.groupBy("node").agg(ruled("block"), ruled("allow"))
+    facts = facts.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("block").alias("block"), F.min("allow").alias("allow"))
+    facts = facts.filter("block is not null")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
 
     seen = seen.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return seen.join(blocked, "component", "left").select(
-        id_col, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "inherited", F.lit("allow")).alias("verdict"), "component"
-    )
+    seen = seen.join(facts, "component", "left").join(sizes, "component", "left")
+    inherited = F.when(F.col("block").isNotNull() & F.col("allow").isNull(), "block")
+    members = F.when(F.col("node").isNotNull(), F.coalesce("size", F.lit(1).cast("long")))
+    decided_by = F.when(F.col("found").isNull() & F.col("block").isNotNull(), F.coalesce("allow", "block"))
+    verdict = F.coalesce("found.verdict", inherited, F.lit("allow"))
+    return seen.select(F.col("page").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "component", members.alias("members"), decided_by.alias("decided_by"))
 
 
 def oracle_sql() -> str:
@@ -112,7 +156,7 @@ t AS (
   SELECT u.page_id, unnest(list_concat(
     regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
     regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>]+)', 1))) AS raw, url FROM u),
+    regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1))) AS raw, url FROM u),
 a AS (
   SELECT page_id, CASE WHEN contains(raw, '://') THEN raw WHEN starts_with(raw, '//') THEN 'http:' || raw
     WHEN starts_with(raw, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || raw
@@ -135,7 +179,9 @@ e AS (SELECT o.node AS x, d.node AS y FROM v o JOIN v d ON o.page_id = d.page_id
 both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach AS (SELECT node AS x, node AS y FROM v WHERE node IS NOT NULL UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
 part AS (SELECT x AS node, min(y) AS component FROM reach GROUP BY x),
-fact AS (SELECT component, coalesce(bool_or(verdict = 'block'), false) AND NOT coalesce(bool_or(verdict = 'allow'), false) AS blocked FROM v JOIN part USING (node) GROUP BY component)
-SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.verdict, CASE WHEN f.blocked THEN 'block' END, 'allow') AS verdict, p.component
-FROM v LEFT JOIN part p USING (node) LEFT JOIN fact f USING (component) WHERE v.own
+size AS (SELECT component, count(*) AS members FROM part GROUP BY component),
+fact AS (SELECT component, min(CASE WHEN verdict = 'block' THEN node END) AS block, min(CASE WHEN verdict = 'allow' THEN node END) AS allow FROM v JOIN part USING (node) GROUP BY component)
+SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.verdict, CASE WHEN f.block IS NOT NULL AND f.allow IS NULL THEN 'block' END, 'allow') AS verdict, p.component, z.members,
+  CASE WHEN v.rule IS NULL AND f.block IS NOT NULL THEN coalesce(f.allow, f.block) END AS decided_by
+FROM v LEFT JOIN part p USING (node) LEFT JOIN fact f USING (component) LEFT JOIN size z USING (component) WHERE v.own
 """

@@ -74,6 +74,35 @@ def test_url_filter_aliases(spark):
     assert by[12] == (12, "www.example.net", "", None, "allow")
     assert by[13][3:] == ("example.net/en/", "allow") and by[14][3:] == (None, "block") and by[15][3:] == ("net/", "block")
     assert url_filter.judge(pages.limit(0)).count() == 0
+    more = {r.page_id: (r.component, r.members, r.decided_by) for r in url_filter.judge(pages).collect()}
+    assert more[3] == more[4] == ("a.example.com/de/1", 4, "a.example.com/de/1") and more[1] == ("a.example.com/de/1", 4, None)
+    assert more[7] == more[8] == ("a.org/fr/x", 5, "a.org/fr/x")  # a block in the component that an allow stops
+    assert more[9] == ("h.example.com/9", 1, None) and more[10] == more[11] == (None, None, None)
+    every = [tuple(r) for r in url_filter.judge(pages).collect()]
+    table = spark.createDataFrame([*url_filter.RULES, ("allow", None), (None, "net/")], "verdict string, rule string")
+    assert sorted(map(tuple, url_filter.judge(pages, table).collect()), key=str) == sorted(every, key=str)
+
+
+def test_rule_tables(spark):
+    """A table of rules gives what the list in the plan gives, on odd hosts and paths."""
+    rng = random.Random(12)
+    names = ["net", "a.net", "b.a.net", "com", "x.com", "", "net."]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(names) + "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(4)))) for _ in range(60)] + [("block", "com"), ("allow", "com/"), ("allow", "x.com/é"), ("block", "x.com/a"), ("allow", "x.com/a")]
+    hosts = ["net", "a.net", "b.a.net", "ab.a.net", "net.", "..net", "xnet", "x.com", "com", ""]
+    rows = [(k, f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/é'])}{''.join(rng.choice('ab/') for _ in range(rng.randrange(4)))}", None) for k in range(300)]
+    pages = spark.createDataFrame([*rows, (999, None, None)], "page_id bigint, url string, html string")
+    want = sorted(map(tuple, url_filter.judge(pages, tuple(rules)).collect()), key=str)
+    assert sorted(map(tuple, url_filter.judge(pages, spark.createDataFrame(rules, "verdict string, rule string")).collect()), key=str) == want
+    many = tuple(rules) + tuple(("block", f"h{k}.example/") for k in range(url_filter.MOST_LITERALS))
+    assert sorted(map(tuple, url_filter.judge(pages, many).collect()), key=str) == want
+    assert len({r[3] for r in want}) > 15
+
+
+def test_redirect_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.com/1", None), (2, "http://b.example.com/2", None), (3, "http://c.example.com/3", None)], "page_id bigint, url string, html string")
+    hops = [("http://a.example.com/1", "http://hop.example.com/x?utm_source=y"), ("https://hop.example.com/x", "http://z.net/end"), ("http://b.example.com/2", None), (None, "http://z.net/end"), ("no scheme", "http://c.example.com/3")]
+    got = {r.page_id: (r.verdict, r.members, r.decided_by) for r in url_filter.judge(pages, redirects=spark.createDataFrame(hops, "from_url string, to_url string")).collect()}
+    assert got == {1: ("block", 3, "z.net/end"), 2: ("allow", 1, None), 3: ("allow", 1, None)}
 
 
 def brute_quality(text):
