@@ -138,8 +138,24 @@ def test_quality_hosts(spark):
     kept = {r.doc_id for r in quality.keep_good(docs).collect()}
     assert kept == {*range(100, 150), 201}  # the good page of a bad host goes
     assert quality.keep_good(docs).columns == docs.columns
-    rates = {r.source: r for r in quality.host_rates(quality.judge(docs.drop("quality")).selectExpr("source", "quality.fails"), "source").collect()}
-    assert rates["tiny"].short_rate < 1.0 and rates["h0"].short_rate > 0.0  # shrunk towards the mean
+    judged = quality.judge(docs)
+    assert judged.columns == [*docs.columns, "quality_"]
+    rates = {r.source: r for r in quality.host_rates(judged.selectExpr("source", "quality_.fails"), "source").collect()}
+    assert rates["tiny"].short_raw == 1.0 > rates["tiny"].short_rate and rates["h0"].short_rate > rates["h0"].short_raw == 0.0  # shrunk towards the mean
+    assert {h for h, r in rates.items() if r.rejected} == {"bad.example"}
+    got = {r.doc_id: r for r in quality.measured(docs).collect()}
+    assert got[50].host_rejected and not got[50].base_failed and not got[50].kept and got[50].host_docs == 51 and got[50].host_short_raw == round(50 / 51, 6)
+    assert got[201].host_docs is None and got[201].kept and got[200].base_failed and not got[200].host_rejected
+
+
+def test_quality_of_a_bad_corpus(spark):
+    """Where most documents of all hosts fail, no host stands out, and one that is worse than the others by far does."""
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(k, "short" if k % 10 < 7 else good, f"h{k % 13}") for k in range(13_000)]
+    schema = "doc_id bigint, text string, source string"
+    assert quality.keep_good(spark.createDataFrame(rows, schema)).count() == 3900
+    worse = rows + [(20_000 + k, good if k < 20 else "short", "worse") for k in range(2000)]
+    assert quality.keep_good(spark.createDataFrame(worse, schema)).count() == 3900
 
 
 def test_sharding(spark):

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -15,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def brute_kept(rows):
-    """Ids that pass their own rules and whose host's shrunk failure rates are all at most 0.6."""
+    """Ids that pass their own rules and whose host's failure rates aren't all but surely above their limits."""
     fails, hosts = {}, defaultdict(list)
     for i, text, source in rows:
         n, chars, symbols, dup, repeat = brute_quality(text)
@@ -28,7 +29,10 @@ def brute_kept(rows):
         mean = sum(rates.values()) / len(rates)
         var = sum((r - mean) ** 2 for r in rates.values()) / len(rates)
         weight = min(max(mean * (1 - mean) / var - 1, 2.0), 1000.0) if var > 0 else 1000.0
-        bad |= {h for h, own in hosts.items() if (rates[h] * len(own) + mean * weight) / (len(own) + weight) > 0.6}
+        limit = max(0.5, mean + 2 * math.sqrt(mean * (1 - mean) / (weight + 1)))
+        for h, own in hosts.items():
+            x, n = (rates[h] * len(own) + mean * weight) / (len(own) + weight), len(own) + weight + 1
+            bad |= {h} if x - 2 * math.sqrt(x * (1 - x) / n) > limit else set()
     return {i for i, _, source in rows if not any(fails[i][:2]) and source not in bad}
 
 
