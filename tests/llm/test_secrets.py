@@ -7,6 +7,8 @@ import pytest
 pytest.importorskip("sievetrace.llm")
 from pyspark.sql import functions as F
 
+from secret_lines import HARD_OTHERS, HARD_SECRETS, OTHERS, SECRETS
+
 from sievetrace.llm import secrets
 
 KEY = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
@@ -14,39 +16,94 @@ KEY = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secrets.default_forest(spark)
+    return secrets.default_forest(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def hits(spark, forest, lines):
+    """Whether each line has a finding that the forest takes for a secret."""
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    found = {r.doc_id for r in secrets.scan(rows, forest).filter("is_secret").collect()}
+    return [k in found for k in range(len(lines))]
 
 
 def test_held_out_accuracy(spark, forest):
-    rows = [(i, t, y) for i, (t, y) in enumerate(secrets.labelled(2000, seed=99))]
-    held = spark.createDataFrame(rows, "doc_id bigint, text string, secret int")
-    found = {r.doc_id: r.top for r in secrets.scan(held, forest).groupBy("doc_id").agg(F.max("is_secret").alias("top")).collect()}
-    right = sum(bool(found.get(i, False)) == bool(y) for i, _, y in rows)
+    """On the generator's own kinds; see the next test for others."""
+    rows = secrets.labelled(2000, seed=99)
+    right = sum(h == bool(y) for h, (_, y) in zip(hits(spark, forest, [t for t, _ in rows]), rows))
     assert right / len(rows) > 0.97
 
 
+def test_lines_that_the_generator_did_not_make(spark, forest):
+    """Familiar kinds are told apart; of the hard ones few secrets are found.  The README states these figures."""
+    count = lambda lines: sum(hits(spark, forest, lines))
+    found, false = count(SECRETS), count(OTHERS)
+    assert found >= 0.95 * len(SECRETS) and false <= 0.05 * len(OTHERS)
+    hard_found, hard_false = count(HARD_SECRETS), count(HARD_OTHERS)
+    recall = (found + hard_found) / (len(SECRETS) + len(HARD_SECRETS))
+    precision = (found + hard_found) / (found + hard_found + false + hard_false)
+    print("all lines", recall, precision, "hard ones", hard_found, hard_false)
+    assert recall >= 0.75 and precision >= 0.85
+
+
 def test_expression_is_the_model(spark, forest):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     df = spark.createDataFrame([(t,) for t, _ in secrets.labelled(200, seed=5)], "text string")
-    df = df.select(F.explode(secrets.candidates(F.col("text"))["features"]).alias("f")).withColumn("features", array_to_vector("f"))
+    df = df.select(F.explode(secrets.candidates(F.col("text"), forest.language)["features"]).alias("f")).withColumn("features", array_to_vector("f"))
     rows = forest.model.transform(df).select(forest.score(F.col("f")).alias("own"), vector_to_array("probability")[1].alias("want")).collect()
     assert len(rows) > 150 and all(abs(r.own - r.want) < 1e-9 for r in rows)
 
 
+def brute_candidates(text):
+    """(word_index, match_index, candidate): assigned values, then long runs that aren't part of one."""
+    out = []
+    words = re.sub(r"[ \t\n\x0b\x0c\r]+", " ", text or "").strip(" ").split(" ")
+    for w, word in enumerate(words):
+        told, value = " ".join(words[max(0, w - 2) : w + 1]), ""
+        if len(word.encode()) >= 6 and re.search("[=:]", told):
+            for pattern in (secrets._QUOTED, secrets._BARE):
+                m = re.search(pattern, told)
+                if m and m[1] in word:
+                    value = m[1]
+                    break
+        runs = re.findall(secrets.CANDIDATE, word)
+        out += [(w, k, c) for k, c in enumerate(([value] if value else []) + [r for r in runs if not value or r not in value])]
+    return out
+
+
 def test_candidates(spark, forest):
-    texts = [None, "", "short words only", f'token = "{KEY}" and\n\nsame {KEY}', "é" * 40 + " x", "a" * 50_000, "one_two_three_four=" + "B" * 16 + "&" + "c" * 20 + "==", "    "]
+    texts = [None, "", "short words only", f'token = "{KEY}" and\n\nsame {KEY}', "é" * 40 + " x", "a" * 50_000, "one_two_three_four=" + "B" * 16 + "&" + "c" * 20 + "==", "    "]
+    texts += ['password = "hunter2abc"', "pwd: p@ss,word!x9.", "my api_key=abc-12.34;", "secret: short", "Token := 'x1y2z3' token=x1y2z3", "auth " * 3000, "password=" + "x" * 30_000, "tokens are words: nothing here", *(t for t, _ in secrets.labelled(60, seed=3))]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 2), (None, texts[3], 3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
     got = sorted(((r.doc_id, r.word_index, r.match_index, r.candidate) for r in secrets.scan(docs, forest).collect()), key=str)
-    want = []
-    for i, t, _ in rows:
-        for w, word in enumerate(re.sub(r"[ \t\n\x0b\x0c\r]+", " ", t or "").strip(" ").split(" ")):
-            want += [(i, w, k, c) for k, c in enumerate(re.findall(secrets.CANDIDATE, word))]
-    assert got == sorted(want, key=str)
+    assert got == sorted(((i, *c) for i, t, _ in rows for c in brute_candidates(t)), key=str)
     assert secrets.scan(docs.limit(0), forest).count() == 0
 
 
+def test_language(spark):
+    """Transitions and dictionary against a count of all words."""
+    import math
+    from collections import Counter
+
+    texts = ["Abba abba, baab! x9 éa", None, "", "longer words, longer words abba 99 Longer", "rare"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    own = secrets.Language.fit(docs, known=["dictionary"])
+    kind = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27 if "0" <= c <= "9" else 0
+    pairs, firsts = Counter(), Counter()
+    for word in re.findall(r"[^\W_]+", " ".join(t or "" for t in texts).lower()):
+        k = [0, *map(kind, word), 0]
+        pairs.update(zip(k, k[1:]))
+        firsts.update(k[:-1])
+    word = lambda w: spark.range(1).select(own.likelihood(F.lit(w)).alias("p"), own.coverage(F.lit(w)).alias("c")).first()
+    for w in ("abba", "Qz9-", "é", "longer"):
+        k = [0, *map(kind, w.lower()), 0]
+        assert word(w).p == pytest.approx(sum(math.log2((pairs[p] + 1) / (firsts[p[0]] + 28)) for p in zip(k, k[1:])) / (len(k) - 1), abs=1e-5)
+    assert [word(w).c for w in ("longerDictionary", "rare_longer9words", "abbaabba", "xyzzyq")] == [16, 11, 0, 0]
+    empty = secrets.Language.fit(docs.limit(0), known=[])
+    assert spark.range(1).select(empty.coverage(F.lit("longer")).alias("c"), F.round(empty.likelihood(F.lit("ab")), 4).alias("p")).first() == (0, round(-math.log2(28), 4))
+
+
 def test_redaction(spark, forest):
     docs = spark.createDataFrame([(1, f'on that token = "{KEY}" and again {KEY}.', 5), (2, "nothing to hide in thinganderthationing", 6), (3, None, 7), (3, None, 7)], "doc_id bigint, text string, found int")
     got = secrets.redact(docs, forest)
