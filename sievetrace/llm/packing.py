@@ -6,10 +6,12 @@ tiers that fit, and with a cut from a shorter one where none fits; the shortest
 and cuts at its window.  So a sequence ends exactly at its tier, a power of two, and isn't padded.
 What is left when a partition ends is cut to full windows of falling tiers; at most one sequence for
 each partition is padded to the longest window.  Sequences of a tier form step groups of equally many
-tokens, so every step of a mixed-length schedule has the same work.
+tokens, so every step of a mixed-length schedule has the same work.  They are numbered over all partitions,
+by prefix sums of each partition's sequences: at most one step group of each tier isn't full.
 
-Each partition packs for itself, in one pass with a bounded pool: no shuffle, and a lost executor's
-partition is packed again to the same sequences.  Sequence and step ids hold the partition's number.
+Each partition packs for itself, in one pass with a bounded pool: no shuffle of texts, and a lost executor's
+partition is packed again to the same sequences.  The pieces are written once to the shared folder, and one
+row for each partition and tier is added up.  Sequence ids hold the partition's number.
 
 Defined cases: null text is the empty text (its end token alone); ids are never joined, so repeated or
 null ids are packed as rows of their own; an empty table gives an empty table.
@@ -29,9 +31,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievetrace.llm.runtime import table
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 TIERS = (512, 1024, 2048, 4096)
@@ -155,8 +159,8 @@ class Pool:
 class Packer:
     """Packs the documents of a partition; a piece is (row key, ids, start, end)."""
 
-    def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, pool_tokens: int = POOL_TOKENS) -> None:
-        self.tiers, self.step_tokens, self.pool_tokens = tiers, step_tokens, pool_tokens
+    def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS) -> None:
+        self.tiers, self.pool_tokens = tiers, pool_tokens
         self.pools = {t: Pool() for t in tiers}
         self.base, self.made = partition << 32, 0
         self.of_tier = dict.fromkeys(tiers, 0)
@@ -179,9 +183,8 @@ class Packer:
 
     def _emit(self, pieces: list[tuple], tier: int) -> None:
         offset, seq = 0, self.base | self.made
-        step = self.base | self.tiers.index(tier) << 28 | self.of_tier[tier] * tier // self.step_tokens  # the partition, the tier's place, the group
         for key, ids, a, b in pieces:
-            self.rows.append((key, a, b - a, len(ids), seq, offset, tier, step, ids[a:b].tobytes()))
+            self.rows.append((key, a, b - a, len(ids), seq, offset, tier, self.of_tier[tier], ids[a:b].tobytes()))
             offset += b - a
         self.made += 1
         self.of_tier[tier] += 1
@@ -239,16 +242,15 @@ class Packer:
             self._emit(pieces, tier or self.tiers[-1])
 
 
-_FIELDS = (("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64()), ("ids", pa.binary()))
+_FIELDS = (("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary()))
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """One row for each piece: ``id_col``, start, length, doc_tokens, sequence_id, offset, tier, step_group and the
-    piece's ids (binary, little-endian unsigned 32-bit).  ``tiers`` are powers of two, ``step_tokens`` a multiple of each."""
+def _packed(docs: DataFrame, tokenizer_path: str | None, id_col: str, text_col: str, tiers: tuple[int, ...]) -> DataFrame:
+    """Pieces with ``nth``, the number of their sequence among those of its tier and partition."""
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, packer, kind = tokenizer(path), Packer(TaskContext.get().partitionId(), tiers, step_tokens), None
+        own, packer, kind = tokenizer(path), Packer(TaskContext.get().partitionId(), tiers), None
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*packer.rows, strict=True)) or [()] * 9
@@ -268,10 +270,29 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
             yield out()
 
     kept = docs.select(F.col(id_col), F.col(text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, tier int, step_group bigint, ids binary")
+    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, tier int, nth bigint, ids binary")
+
+
+def _in_steps(rows: DataFrame, step_tokens: int) -> DataFrame:
+    """Written pieces with ``step_group`` in place of ``nth``: the tier and the number of a group of its sequences over all partitions."""
+    part = F.shiftrightunsigned("sequence_id", 32).alias("part")
+    made = rows.groupBy(part, "tier").agg((F.max("nth") + 1).alias("made"))  # a row for each partition and tier
+    before = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    made = made.select("part", "tier", F.coalesce(F.sum("made").over(before), F.lit(0)).alias("before"))
+    names = [c for c in rows.columns if c != "nth"]
+    group = F.floor((F.col("before") + F.col("nth")) * F.col("tier") / step_tokens).cast("long")
+    placed = rows.withColumn("part", part).join(made, ["part", "tier"])
+    return placed.select(*(F.col(f"`{c}`") for c in names), (F.shiftleft(F.col("tier").cast("long"), 44) + group).alias("step_group"))
+
+
+def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """One row for each piece: ``id_col``, start, length, doc_tokens, sequence_id, offset, tier, the piece's ids (binary,
+    little-endian unsigned 32-bit) and step_group.  ``tiers`` are powers of two, ``step_tokens`` a multiple of each."""
+    return _in_steps(table(_packed(docs, tokenizer_path, id_col, text_col, tiers)), step_tokens)
 
 
-def pieces(docs: DataFrame, **options) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
-    packed = pack(docs, **options)
-    return packed.select(options.get("id_col", "doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    rows = _packed(docs, tokenizer_path, id_col, text_col, tiers)
+    rows = rows.select(F.col(f"`{id_col}`"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "nth")
+    return _in_steps(table(rows), step_tokens)

@@ -72,7 +72,7 @@ def test_sizes(n):
 @few
 @given(st.lists(st.integers(1, 300), max_size=60), st.sampled_from([(8, 16, 32, 64), (4, 8)]), st.integers(1, 400))
 def test_packing(lengths, tiers, pool):
-    packer = packing.Packer(3, tiers, tiers[-1] * 2, pool)
+    packer = packing.Packer(3, tiers, pool)
     docs = [np.arange(n, dtype="<u4") + 1000 * k for k, n in enumerate(lengths)]
     for k, ids in enumerate(docs):
         packer.add(k, ids)

@@ -263,11 +263,26 @@ def test_empty_tables(docs):
 
 
 def test_step_groups_of_many_partitions(spark):
-    """No two partitions share a step group, so none is above STEP_TOKENS."""
+    """Step groups go over partitions: each holds one tier, and at most one of each tier isn't full."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4, "doc_id")
-    steps, parts = defaultdict(int), defaultdict(set)
-    for r in packing.pieces(docs).collect():
-        steps[r.step_group] += r["length"]
-        parts[r.step_group].add((r.sequence_id >> 32, r.tier))
-    assert len({p for own in parts.values() for p, _ in own}) == 4
-    assert max(steps.values()) <= packing.STEP_TOKENS and all(len(own) == 1 for own in parts.values())
+    rows = packing.pieces(docs).collect()
+    windows, tiers, parts = defaultdict(set), defaultdict(set), defaultdict(set)
+    for r in rows:
+        windows[r.step_group].add(r.sequence_id)
+        tiers[r.step_group].add(r.tier)
+        parts[r.step_group].add(r.sequence_id >> 32)
+    assert len({p for own in parts.values() for p in own}) == 4 and any(len(own) > 1 for own in parts.values())
+    assert all(len(t) == 1 for t in tiers.values())
+    tokens = {g: len(w) * min(tiers[g]) for g, w in windows.items()}
+    assert max(tokens.values()) == packing.STEP_TOKENS
+    assert sum(t < packing.STEP_TOKENS for t in tokens.values()) <= len(packing.TIERS)
+
+
+def test_packed_ids(docs):
+    """The pieces' ids are those that their checksums are of."""
+    rows = packing.pack(docs.coalesce(2)).collect()
+    for r in rows:
+        assert len(r.ids) == 4 * r["length"]
+    crc = lambda r: zlib.crc32(r.ids) if "ids" in r else r.ids_crc32
+    key = lambda r: (str(r.doc_id), r.start, r["length"], r.doc_tokens, r.sequence_id, r.offset, r.tier, crc(r), r.step_group)
+    assert sorted(map(key, rows)) == sorted(map(key, packing.pieces(docs.coalesce(2)).collect()))
