@@ -10,12 +10,16 @@ id has too are removed.  Windows are judged on the input, not on what is left.
 Probes travel packed: one compressed row for each slice of documents and hash range instead of a row for
 each word, so the shuffle is about the size of the texts.  Within a slice copies are combined before that:
 what several documents of the slice share is marked at once and sent on as one entry, so a passage in a
-third of all documents costs a hash range one entry for each slice.  No pairs of documents are formed.
-Beyond ``FAN`` ranges packets go to as many coarse ranges first and are packed anew there, so that packets
-hold hundreds of entries however many ranges there are.
+third of all documents costs a hash range one entry for each slice.  A window that stands often in one
+document is sent once, too: its other places wait with the document for what becomes of the first, so a text
+of one repeated word is no hot key.  No pairs of documents are formed.  Beyond ``FAN`` ranges packets go to as
+many coarse ranges first, each dealt to as many tasks as its size asks for, where they are combined again and
+packed anew, so that packets hold hundreds of entries however many ranges there are.
 
 Anchors are compared by 32 bits of a hash within one of the hash ranges, repeats by runs of 26 such
-anchors and a 64-bit key of the two that make up a window.  Defined cases: null text has no words; a null id has no order, so such rows stay
+anchors and a 64-bit key of the two that make up a window; words aren't compared again.  A false cut needs
+two different windows of equal key whose halves both stand in other documents: among n such windows about
+n * n / 2**65 are expected, 0.03 for a billion.  Defined cases: null text has no words; a null id has no order, so such rows stay
 as they are; rows with the same id don't remove from each other, and each loses its own repeats: where their texts differ, the
 texts stand at places of their own in one range of word positions (at most 4 GB of different texts for an id, else an error);
 texts of fewer than 50 words stay; an empty table gives an empty table; other columns pass through.
@@ -46,9 +50,11 @@ SLICE_WORDS = 1_200_000
 RANGE_BYTES = 16_000_000
 #: Ranges that a slice is cut into at once, and partitions of a shuffle.
 FAN, MOST_PARTITIONS = 2048, 50_000
+#: Ranges whose bytes one task packs anew, where there are coarse ones.
+DEAL_RANGES = 128
 #: Word positions of a document.
 MOST_POSITIONS = (1 << 31) - 1
-_ANCHOR, _MARKED = 1, 2
+_ANCHOR, _MARKED, _WAITS = 1, 2, 4
 
 
 class Entries(NamedTuple):
@@ -123,17 +129,40 @@ def _shared(e: Entries, g: Groups) -> tuple[np.ndarray, np.ndarray]:
 
 
 def combine_probes(e: Entries) -> tuple[Entries, Entries]:
-    """(marked, to send) of a slice: what several of its documents share is marked, and sent as one entry."""
+    """(marked, to send) of a slice: what several of its documents share is marked, if it wasn't, and sent as one entry."""
     g = _groups(e.key)
     several, anchor = _shared(e, g)
     own = e.take(g.order)
     lead = np.zeros(len(own.key), bool)
     lead[g.first] = True
-    marked = own.take(several)._replace(bits=np.full(int(several.sum()), _ANCHOR, np.uint8))
+    new = several & (own.bits & _MARKED == 0)
+    marked = own.take(new)._replace(bits=np.full(int(new.sum()), _ANCHOR, np.uint8))
     sent = own._replace(bits=np.where(several, anchor | _MARKED, own.bits)).take(~several | lead)
     return marked, sent
 
 
+def once_each(e: Entries) -> tuple[Entries, Entries]:
+    """(first, waiting) of entries to send, which are ordered by key and of one document for each key: the first of each key, and its other places."""
+    lead = np.ones(len(e.key), bool)
+    lead[1:] = e.key[1:] != e.key[:-1]
+    if lead.all():
+        return e, e.take(slice(0, 0))
+    first = e.take(lead)._replace(bits=np.bitwise_or.reduceat(e.bits, np.flatnonzero(lead)))
+    return first, e._replace(bits=e.bits | np.uint8(_WAITS)).take(~lead)
+
+
+def awaited(e: Entries, first: np.ndarray) -> Entries:
+    """Entries of documents without those that wait in vain: ``first`` tells, for each, the entry of its document that it
+    waits for, by the same number that this has itself."""
+    waits = e.bits & _WAITS > 0
+    if not waits.any():
+        return e
+    of = wordhash.mix(wordhash.mix(e.doc.view(np.uint64)) ^ first.astype(np.uint64))
+    keep = ~waits
+    keep[waits] = np.isin(of[waits], of[~waits])
+    return e._replace(bits=e.bits & np.uint8(~_WAITS & 0xFF)).take(keep)
+
+
 def match_probes(e: Entries) -> Entries:
     """Entries whose key stands in several documents and that weren't marked before; the bit tells hits of the index."""
     g = _groups(e.key)
@@ -173,14 +202,15 @@ class Route(NamedTuple):
     whole: int
     short: int
     marked: int
+    deal: int = DEAL_RANGES
 
 
-def _probe_route(ranges: int, fan: int, slice_words: int) -> Route:
-    return Route(ranges, fan, slice_words, 7, 4, 7)
+def _probe_route(ranges: int, fan: int, slice_words: int, deal: int) -> Route:
+    return Route(ranges, fan, slice_words, 7, 4, 7, deal)
 
 
-def _window_route(ranges: int, fan: int, slice_words: int) -> Route:
-    return Route(ranges, fan, slice_words, 8, 8, 0)
+def _window_route(ranges: int, fan: int, slice_words: int, deal: int) -> Route:
+    return Route(ranges, fan, slice_words, 8, 8, 0, deal)
 
 
 def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
@@ -191,10 +221,10 @@ def _coarse(number, r: Route):
     return number * r.fan // r.ranges if r.ranges > r.fan else number
 
 
-def _send(e: Entries, marked: bool, r: Route, fine: bool = False) -> Iterator[pa.RecordBatch]:
+def _send(e: Entries, marked: bool, r: Route, fine: bool = False, key_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
     """Packed rows of entries, one for each range or group of documents; coarse ones where there are many, unless ``fine``."""
     number = wordhash.mix(e.doc.view(np.uint64)) % np.uint64(r.ranges) if marked else _range_of(e.key, r.ranges)
-    width = r.marked if marked else r.whole
+    width = key_bytes or (r.marked if marked else r.whole)
     if r.ranges > r.fan and not fine:
         number = number * np.uint64(r.fan) // np.uint64(r.ranges)
     elif not marked and r.short < r.whole:
@@ -208,32 +238,42 @@ def _send(e: Entries, marked: bool, r: Route, fine: bool = False) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(number[starts[k : k + 256]].astype(np.int32)), pa.array([marked] * len(own)), pa.array([pack(x, width) for x in own], pa.binary())], schema=_SCHEMA)
 
 
-def _deal(packed: DataFrame, r: Route) -> DataFrame:
-    """Packets of coarse ranges packed anew for the fine ones; as they are if there are few."""
+def _deal(packed: DataFrame, r: Route, combine: Callable[[Entries], tuple[Entries, Entries]] | None = None) -> DataFrame:
+    """Packets of coarse ranges combined and packed anew for the fine ones; as they are if there are few.
+
+    A coarse range is dealt to several tasks if it is large; each does a part of it alone.
+    """
     if r.ranges <= r.fan:
         return packed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[Entries]] = {False: [], True: []}
+        held: dict[int, list[Entries]] = {}  # marked ones by the width of their keys, the others as -1
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for marked, parts in held.items():
-                if parts:
-                    yield from _send(_join(parts), marked, r, True)
+            for width, parts in held.items():
+                if not parts:
+                    continue
+                e = _join(parts)
+                if width < 0 and combine:
+                    marked, e = combine(e)
+                    yield from _send(marked, True, r, True)
+                yield from _send(e, width >= 0, r, True, max(width, 0))
                 parts.clear()
 
         for batch in batches:
             for marked, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 e = unpack(raw)
-                held[marked].append(e)
+                held.setdefault(raw[4] if marked else -1, []).append(e)
                 n += len(e.doc)
                 if n >= r.slice_words:
                     yield from flush()
                     n = 0
         yield from flush()
 
-    return packed.repartitionById(r.fan, F.col("part")).mapInArrow(run, _PACKED)
+    shards = math.ceil(r.ranges / r.fan / r.deal)
+    dealt = packed.withColumn("task", F.col("part") * shards + F.spark_partition_id() % shards)
+    return dealt.repartitionById(r.fan * shards, F.col("task")).mapInArrow(run, _PACKED)
 
 
 def _by_part(packed: DataFrame, r: Route) -> DataFrame:
@@ -247,7 +287,9 @@ def _probes(docs: DataFrame, r: Route) -> DataFrame:
     def flush(held: list[Entries]) -> Iterator[pa.RecordBatch]:
         whole = lambda e: e._replace(key=e.key >> np.uint64(32) << np.uint64(24) | _range_of(e.key, r.ranges))
         marked, sent = combine_probes(_join(held))
+        sent, waiting = once_each(sent)
         yield from _send(whole(marked), True, r)
+        yield from _send(whole(waiting), True, r)
         yield from _send(whole(sent), False, r)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +312,8 @@ def _probes(docs: DataFrame, r: Route) -> DataFrame:
     return docs.mapInArrow(run, _PACKED)
 
 
-def _meet(packed: DataFrame, r: Route, match: Callable[[Entries], Entries]) -> DataFrame:
-    """Marked rows: what ``match`` finds in each hash range, and those that were marked before."""
+def _meet(packed: DataFrame, r: Route, match: Callable[[Entries], Entries], combine: Callable[[Entries], tuple[Entries, Entries]]) -> DataFrame:
+    """Marked rows: what ``match`` finds in each hash range, and those that were marked before or wait."""
 
     def run(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
@@ -283,12 +325,13 @@ def _meet(packed: DataFrame, r: Route, match: Callable[[Entries], Entries]) -> D
             found = list(_send(e._replace(key=e.key << np.uint64(24) | np.uint64(part)) if r.short < r.whole else e, True, r))
         return pa.concat_tables([done.cast(_SCHEMA), pa.Table.from_batches(found, _SCHEMA)])
 
-    return _by_part(_deal(packed, r), r).groupBy("part").applyInArrow(run, _PACKED)
+    return _by_part(_deal(packed, r, combine), r).groupBy("part").applyInArrow(run, _PACKED)
 
 
-def _in_order(packed: list[bytes]) -> Entries:
-    """Entries by document and position, each once."""
+def _in_order(packed: list[bytes], by_place: bool) -> Entries:
+    """Entries by document and position, each once; others wait for the first of a key, or for the place that their key names."""
     e = _join([unpack(x) for x in packed])
+    e = awaited(e, np.where(e.bits & _WAITS > 0, e.key, e.pos) if by_place else e.key)
     e = e.take(np.lexsort((~e.bits, e.pos, e.doc)))
     new = np.ones(len(e.pos), bool)
     new[1:] = (e.doc[1:] != e.doc[:-1]) | (e.pos[1:] != e.pos[:-1])
@@ -299,7 +342,7 @@ def _repeats(hits: DataFrame, of: Route, r: Route) -> DataFrame:
     """From documents' hits (routed by ``of``): 50-word windows of maximal repeats, repeated ones by documents, others by hash range."""
 
     def run(rows: pa.Table) -> pa.Table:
-        e = _in_order(rows.column("packed").to_pylist())
+        e = _in_order(rows.column("packed").to_pylist(), False)
         new = np.ones(len(e.pos), bool)
         new[1:] = (e.doc[1:] != e.doc[:-1]) | (e.pos[1:] != e.pos[:-1] + 1)
         run_of = np.cumsum(new) - 1  # runs of consecutive shared windows: maximal repeats
@@ -311,7 +354,11 @@ def _repeats(hits: DataFrame, of: Route, r: Route) -> DataFrame:
         found: list[pa.RecordBatch] = []
         if len(key):
             repeated, sent = combine_windows(Entries(key, e.doc[:k][whole], e.pos[:k][whole], np.zeros(len(key), np.uint8)))
-            found = [*_send(repeated, True, r), *_send(sent, False, r)]
+            first, waiting = once_each(sent)
+            if len(waiting.key):  # their keys become the places of the first ones
+                place = first.pos[np.searchsorted(first.key, waiting.key)]
+                found += _send(waiting._replace(key=place.astype(np.uint64)), True, r, key_bytes=4)
+            found += [*_send(repeated, True, r), *_send(first, False, r)]
         return pa.Table.from_batches(found, _SCHEMA)
 
     return _by_part(_deal(hits, of), of).groupBy("part").applyInArrow(run, _PACKED)
@@ -321,13 +368,13 @@ def _spans(found: DataFrame, r: Route) -> DataFrame:
     """(doc_id, spans): the word ranges that each document loses."""
 
     def run(rows: pa.Table) -> pa.Table:
-        e = _in_order(rows.column("packed").to_pylist())
+        e = _in_order(rows.column("packed").to_pylist(), True)
         new = np.ones(len(e.pos), bool)
         other = np.ones(len(e.pos), bool)
         other[1:] = e.doc[1:] != e.doc[:-1]
         new[1:] = other[1:] | (e.pos[1:] > e.pos[:-1] + WINDOW)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(e.pos)) - 1
+        last = np.append(first[1:], len(e.pos))[: len(first)] - 1
         spans = pa.StructArray.from_arrays([pa.array(e.pos[first].astype(np.int32)), pa.array(e.pos[last].astype(np.int32) + np.int32(WINDOW))], ["start", "stop"])
         cuts = np.append(np.flatnonzero(other[first]), len(first))
         return pa.table({"doc_id": e.doc[np.flatnonzero(other)], "spans": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans)})
@@ -362,14 +409,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_words: int = SLICE_WORDS, range_bytes: int = RANGE_BYTES, fan: int = FAN, places: DataFrame | None = None) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_words: int = SLICE_WORDS, range_bytes: int = RANGE_BYTES, fan: int = FAN, deal: int = DEAL_RANGES, places: DataFrame | None = None) -> DataFrame:
     """(doc_id, spans): the word ranges that are removed, one row for each document that has some; positions by ``places``."""
     texts = _texts(docs, id_col, text_col)
     ranges = max(1, math.ceil(text_bytes(texts, "text") / range_bytes))
-    probes, windows = _probe_route(ranges, fan, slice_words), _window_route(ranges, fan, slice_words)
+    probes, windows = _probe_route(ranges, fan, slice_words, deal), _window_route(ranges, fan, slice_words, deal)
     placed = _placed(texts, "doc_id", "text", places).select("doc_id", "text", "at")
-    hits = _meet(_probes(placed, probes), probes, match_probes)
-    return _spans(_meet(_repeats(hits, probes, windows), windows, match_windows), windows)
+    hits = _meet(_probes(placed, probes), probes, match_probes, combine_probes)
+    return _spans(_meet(_repeats(hits, probes, windows), windows, match_windows, combine_windows), windows)
 
 
 def own_spans(spans: list[dict] | None, at: int, words: int) -> list[dict] | None:

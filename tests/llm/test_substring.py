@@ -52,7 +52,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"slice_words": 300, "range_bytes": 2000}, {"slice_words": 3000, "range_bytes": 30_000}, {"slice_words": 500, "range_bytes": 3000, "fan": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"slice_words": 300, "range_bytes": 2000}, {"slice_words": 3000, "range_bytes": 30_000}, {"slice_words": 500, "range_bytes": 3000, "fan": 4}, {"slice_words": 500, "range_bytes": 3000, "fan": 4, "deal": 2}])
 def test_planted(spark, sizes):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
@@ -96,3 +96,38 @@ def test_same_id_different_texts(spark, sizes):
     rows = [(i, " ".join(w)) for i, w in rows] + [(7, None), (None, " ".join(passage))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert sorted(map(tuple, substring.digests(docs, **sizes).collect()), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"slice_words": 400, "range_bytes": 3000}, {"slice_words": 400, "range_bytes": 2000, "fan": 3, "deal": 1}])
+def test_periodic_texts(spark, sizes):
+    """Texts that repeat themselves, alone and in others: every place of a window goes if its first one does."""
+    rng = random.Random(10)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    chorus, two = words(13), words(70)
+    rows = [(k, w) for k, w in enumerate([
+        ["la"] * 900, ["la"] * 55, ["la"] * 49, ["lo"] * 3000, chorus * 30, words(9) + chorus * 6 + words(9) + chorus * 5, two + words(30) + two + words(7) + two, words(3) + two, two * 3,
+        ["a", "b"] * 400, ["b", "a"] * 30, ["a", "b", "c"] * 100, words(60) * 4, words(25) * 2 + words(40) + words(25), ["lo"] * 40 + words(4) + ["lo"] * 60,
+    ])]
+    rows += [(3, ["la"] * 200), (3, ["la"] * 200), (200, words(60) * 2), (5, ["lo"] * 500), (-1, ["b"] + ["a", "b"] * 26)]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(map(tuple, substring.digests(docs, **sizes).collect()), key=str)
+    assert got == brute(rows) and sum(r[2] for r in got) > 2000
+
+
+def test_a_repeated_word_is_sent_once():
+    import numpy as np
+
+    n = 100_000
+    e = substring.Entries(np.full(n, 7, "u8"), np.full(n, 3, "i8"), np.arange(n, dtype="u4"), (np.arange(n) % 25 == 0).astype("u1"))
+    marked, sent = substring.combine_probes(e)
+    first, waiting = substring.once_each(sent)
+    assert len(marked.key) == 0 and len(first.key) == 1 and len(waiting.key) == n - 1
+    together = substring._join([waiting, first])
+    assert len(substring.awaited(together, together.key).key) == n and len(substring.awaited(waiting, waiting.key).key) == 0
+    both = substring._join([e, e._replace(doc=np.full(n, 4, "i8"))])
+    marked, sent = substring.combine_probes(both)
+    assert len(marked.key) == 2 * n and len(sent.key) == 1
+    again, later = substring.combine_probes(substring._join([sent, sent._replace(doc=np.array([9], "i8")), first._replace(doc=np.array([11], "i8"))]))
+    assert again.doc.tolist() == [11] and len(later.key) == 1  # what was marked isn't marked again
