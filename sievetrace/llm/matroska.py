@@ -20,6 +20,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievetrace.llm.runtime import free_name
 
@@ -347,9 +348,9 @@ def demux(media: DataFrame, media_col: str = "media") -> DataFrame:
                 new = [pa.array([r[n] for r in rows], kind) for n, kind in enumerate((pa.list_(_PACKET), pa.binary(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
     kinds = (PACKETS, "binary", "string", "string")
-    return media.mapInArrow(run, ", ".join([schema, *(f"`{n}` {kind}" for n, kind in zip(added, kinds, strict=True))]))
+    new = StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in zip(added, kinds, strict=True)))
+    return media.mapInArrow(run, StructType([*media.schema, *new]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

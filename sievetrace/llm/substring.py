@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievetrace.llm import wordhash
 from sievetrace.llm.runtime import table, text_bytes
@@ -465,7 +466,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out:
                 gone.append(m)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["row", "new", "n_words", "n_removed"])
 
-    done = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, new string, n_words bigint, n_removed bigint")
+    schema = StructType([joined.schema["row"], *StructType.fromDDL("new string, n_words bigint, n_removed bigint")])
+    done = joined.mapInArrow(run, schema)
     columns = [F.col("new").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
     return done.select(*columns, F.struct("n_words", "n_removed").alias(out))
 
