@@ -8,8 +8,9 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 #: Ids of pad, begin, end and unknown (fixed values).
 PAD, BEGIN, END, UNKNOWN = range(4)
@@ -53,6 +54,23 @@ def latent_statistics(rows: DataFrame, vector: str) -> DataFrame:
     return each.groupBy("dim").agg(F.avg("x").alias("mean"), F.greatest(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), F.lit(1e-3)).alias("std"))
 
 
+def save(path: str, chars: DataFrame, statistics: DataFrame | None = None) -> None:
+    """Write a model's alphabet and, if it has latents, their statistics."""
+    chars.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    if statistics is not None:
+        statistics.write.mode("overwrite").parquet(f"{path}/latents")
+
+
+def load(spark: SparkSession, path: str) -> tuple[dict[str, int], list[tuple[float, float]]]:
+    """A model's ids by character, and the mean and deviation of each latent dimension (none without statistics): both bounded by the model."""
+    ids = {r.char: r.id for r in spark.read.parquet(f"{path}/vocabulary").collect()}
+    try:
+        rows = spark.read.parquet(f"{path}/latents").orderBy("dim").collect()
+    except AnalysisException:
+        rows = []
+    return ids, [(r["mean"], r["std"]) for r in rows]
+
+
 def by_frequency(samples: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, n, rank): sampled texts by how often they came, then in their order."""
     counted = samples.groupBy(key, text).agg(F.count("*").alias("n"))

@@ -7,17 +7,19 @@ import subprocess
 import tempfile
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from sievetrace.functions.hashing import nul_joined_key
-from sievetrace.functions.text import NO_GOALS, count_goals, strip
+from sievetrace.functions.text import DIAGNOSTICS_LIMIT, NO_GOALS, PLACEHOLDER_STATE, count_goals, render_template, strip
 from sievetrace.operators.lookup import unknown
-from sievetrace.schema import ACTION_SLOT
+from sievetrace.schema import ACTION_SLOT, VERDICTS
 
 #: Heads that close a goal for the rule-based verifier (fixed values).
 FINISHERS = ("rfl", "decide", "trivial", "omega", "norm_num")
@@ -49,6 +51,46 @@ class Session(Protocol):
     def close(self) -> None: ...
 
 
+class Live:
+    """A session over a backend with state objects: states are known by their printed form.
+
+    ``backend.start(theorem)`` gives a state, ``backend.run(state, action)`` one of: an object with ``error``; one with
+    ``pp``, a state; one whose ``finished`` is true.  An action on a printed form that wasn't seen is an error.
+    """
+
+    def __init__(self, backend: Any) -> None:
+        self.backend = backend
+        self.states: dict[str, Any] = {}
+
+    def start(self, theorem: dict) -> str:
+        return self._seen(self.backend.start(theorem))
+
+    def _seen(self, state: Any) -> str:
+        self.states[state.pp] = state
+        return state.pp
+
+    def run(self, state: str, action: str) -> dict:
+        if state not in self.states:
+            return {"error": "unknown state", "num_goals": None}
+        result = self.backend.run(self.states[state], action)
+        if getattr(result, "error", None):
+            return {"error": str(result.error), "num_goals": max(1, state.count("⊢"))}
+        if getattr(result, "finished", False):
+            return {"next_state": NO_GOALS, "proof_finished": True, "num_goals": 0}
+        if getattr(result, "pp", None) is None:
+            return {"error": f"unexpected result {type(result).__name__}", "num_goals": None}
+        return {"next_state": self._seen(result), "proof_finished": False, "num_goals": max(1, result.pp.count("⊢"))}
+
+    def close(self) -> None:
+        self.states.clear()
+        getattr(self.backend, "close", lambda: None)()
+
+
+def cut(said: str, limit: int = DIAGNOSTICS_LIMIT) -> str:
+    """Output up to a number of characters, marked where it is cut."""
+    return said if len(said) <= limit else said[:limit] + "...[truncated]"
+
+
 class Subprocess:
     """Checks a whole rendered file with an external command, one process for each distinct row."""
 
@@ -63,7 +105,7 @@ class Subprocess:
         try:
             done = subprocess.run([*self.command, f.name], capture_output=True, text=True, timeout=self.timeout_s)
             said = "\n".join(x.strip() for x in (done.stderr, done.stdout) if x.strip())
-            error = None if done.returncode == 0 else said[:1500] or f"exit code {done.returncode}"
+            error = None if done.returncode == 0 else cut(said) or f"exit code {done.returncode}"
         except subprocess.TimeoutExpired:
             error = "timeout"
         except FileNotFoundError:
@@ -105,26 +147,34 @@ def within(seconds: float | None, work: Callable[[], dict]) -> dict:
     return found[0] if found else {"error": "timeout", "num_goals": 0}
 
 
-def run_sessions(rows: DataFrame, open_session: Callable[[], Session], timeout_s: float | None = None) -> DataFrame:
-    """Results of actions on states (theorem_name, state, tactic), a session for each theorem of a partition, closed at the end."""
+def run_sessions(rows: DataFrame, open_session: Callable[[], Session], timeout_s: float | None = None, order: str | None = None) -> DataFrame:
+    """Results of actions on states (theorem_name, state, tactic), a session for each theorem, closed when the next one comes.
+
+    A theorem's rows meet in one task, by ``order`` if that is given; its session stays open over Arrow batches.
+    """
     names = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for _, own in batch.groupby("theorem_name", sort=False):
-                session = open_session()
-                try:
-                    session.start(own.iloc[0].to_dict())
-                    for row in own.itertuples(index=False):
-                        result = within(timeout_s, lambda s=row.state, t=row.tactic: session.run(s, t))
-                        out.append((*row, result.get("next_state"), bool(result.get("proof_finished")), result.get("num_goals"), result.get("error"), result.get("elapsed_ms")))
-                finally:
-                    session.close()
-            yield pd.DataFrame(out, columns=[*names, "next_state", "proof_finished", "num_goals", "error", "elapsed_ms"])
+        session, theorem = None, object()
+        try:
+            for batch in batches:
+                out = []
+                for row, own in zip(batch.itertuples(index=False), batch.to_dict("records"), strict=True):
+                    if own["theorem_name"] != theorem:
+                        if session is not None:
+                            session.close()
+                        session, theorem = open_session(), own["theorem_name"]
+                        session.start(own)
+                    result = within(timeout_s, lambda s=own["state"], t=own["tactic"], on=session: on.run(s, t))
+                    out.append((*row, result.get("next_state"), bool(result.get("proof_finished")), result.get("num_goals"), result.get("error"), result.get("elapsed_ms")))
+                yield pd.DataFrame(out, columns=[*names, "next_state", "proof_finished", "num_goals", "error", "elapsed_ms"])
+        finally:
+            if session is not None:
+                session.close()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition("theorem_name").sortWithinPartitions("theorem_name").mapInPandas(run, f"{schema}, {RESULT}")
+    sort = ["theorem_name", *([order] if order else [])]
+    return rows.repartition("theorem_name").sortWithinPartitions(*sort).mapInPandas(run, f"{schema}, {RESULT}")
 
 
 def runnable(seeds: DataFrame) -> DataFrame:
@@ -151,6 +201,61 @@ def verifier(backend: str, **options):
     raise ValueError(f"unknown backend {backend!r}")
 
 
+# -- what a collection asks: rows with theorem_name, state and tactic, which get the struct ``result``
+
+_RESULT = "struct<next_state:string,proof_finished:boolean,num_goals:int,error:string,success:boolean>"
+
+
+def by_column(verdict: Callable[[Column, Column], Column] = mock_verdict) -> Callable[[DataFrame], DataFrame]:
+    """Attempts judged by a column expression of state and action."""
+    return lambda rows: rows.withColumn("result", verdict(F.col("state"), F.col("tactic")))
+
+
+def by_checker(checker: Callable[[str], dict]) -> Callable[[DataFrame], DataFrame]:
+    """Attempts judged as whole files, rendered from the seed's template; each distinct file is checked once.
+
+    A seed without a template, or without a place for the action in it, fails with that as its error.
+    """
+
+    def run(rows: DataFrame) -> DataFrame:
+        given = runnable(rows)
+        source = render_template(F.col("template"), F.coalesce("placeholder", F.lit(ACTION_SLOT)), F.col("tactic"), F.col("imports"))
+        given = given.withColumn("_source", F.when(F.col("problem").isNull(), source))
+        checked = check_sources(given.select("_source").filter("_source is not null").distinct(), "_source", checker)
+        told = given.join(checked, "_source", "left")
+        ok, error = F.coalesce("success", F.lit(False)), F.coalesce("problem", "error")
+        result = F.struct(F.when(ok, F.lit(PLACEHOLDER_STATE)).alias("next_state"), ok.alias("proof_finished"), F.when(ok, 0).otherwise(count_goals(F.col("state"))).alias("num_goals"), F.when(~ok, error).alias("error"), ok.alias("success"))
+        return told.select(*rows.columns, result.cast(_RESULT).alias("result"))
+
+    return run
+
+
+def by_sessions(open_session: Callable[[], Session], timeout_s: float | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Attempts judged in sessions."""
+
+    def run(rows: DataFrame) -> DataFrame:
+        done = run_sessions(rows, open_session, timeout_s)
+        result = F.struct("next_state", "proof_finished", "num_goals", "error", F.col("error").isNull().alias("success"))
+        return done.select(*rows.columns, result.alias("result"))
+
+    return run
+
+
+def attempts(backend: str, **options) -> Callable[[DataFrame], DataFrame]:
+    """How a collection's attempts are judged, by a backend's name in any spelling; ValueError for another."""
+    name = backend.strip().lower().replace("_", "-")
+    if name == "mock":
+        return by_column()
+    if name == "lean-cli":
+        return by_checker(Subprocess(**options).check)
+    if name == "leandojo":
+        return by_sessions(**options)
+    raise ValueError(f"unknown backend {backend!r}")
+
+
+# -- memory
+
+
 def verdict_key(name: str = "theorem_name", action: str = "tactic") -> Column:
     """The key that a verdict is remembered by."""
     return nul_joined_key(F.col(name), F.col(action))
@@ -166,3 +271,30 @@ def with_memory(asked: DataFrame, known: DataFrame, verify: Callable[[DataFrame]
     new = verify(unknown(keyed, known)).select("cache_key", "theorem_statement", "success", "error", "elapsed_ms")
     every = known.select(*new.columns).union(new)
     return keyed.join(every.drop("theorem_statement"), "cache_key", "left"), new.filter("error is null or error <> 'timeout'")
+
+
+def remembered(spark: SparkSession, path: str) -> DataFrame:
+    """The verdicts that :func:`check_all` has left in a folder, each key once; none if there is no such folder."""
+    try:
+        found = spark.read.schema(f"{VERDICTS}, kept boolean, run string").parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], VERDICTS)
+    return found.filter("kept").drop("kept", "run").dropDuplicates(["cache_key"])
+
+
+def check_all(asked: DataFrame, verify: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """``asked`` (theorem_name, theorem_statement, tactic) with verdicts; new ones are appended to the folder of earlier runs.
+
+    Each distinct unknown action is checked once and written before it is used, so nothing is checked again for a
+    second use, a lost executor's finished work or a later run.  Timeouts are written, too, but not remembered.
+    """
+    spark, run = asked.sparkSession, uuid.uuid4().hex
+    keyed = asked.withColumn("cache_key", verdict_key())
+    known = remembered(spark, path)
+    new = verify(unknown(keyed, known)).select("cache_key", "theorem_statement", "success", "error", "elapsed_ms")
+    new.withColumn("kept", F.coalesce(F.col("error") != "timeout", F.lit(True))).withColumn("run", F.lit(run)).write.mode("append").partitionBy("kept", "run").parquet(path)
+    every = spark.read.schema(f"{VERDICTS}, kept boolean, run string").parquet(path).filter((F.col("run") == run) | F.col("kept"))
+    every = every.dropDuplicates(["cache_key"]).select("cache_key", "success", "error", "elapsed_ms")
+    return keyed.join(every, "cache_key", "left")

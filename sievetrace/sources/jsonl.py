@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievetrace import schema
 from sievetrace.functions.text import strip
+from sievetrace.sources.working import written
 
 ORDER = ("_file_ord", "_line_no")
 
@@ -57,6 +58,11 @@ def records(spark: SparkSession, paths: list[str], ddl: str, missing_ok: bool =
     return parsed.select(*ORDER, "raw", "row.*")
 
 
+def malformed(rows: DataFrame) -> DataFrame:
+    """(_file_ord, _line_no, warning) of the lines that are no JSON objects."""
+    return rows.filter("_corrupt is not null").select(*ORDER, F.format_string("line %d: not a JSON object, skipped", "_line_no").alias("warning"))
+
+
 def keys(raw: str = "raw") -> F.Column:
     """Keys of a raw JSON object."""
     return F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
@@ -125,15 +131,17 @@ def to_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write(df: DataFrame, path: str, mode: str = "overwrite", order: tuple[str, ...] = ()) -> None:
-    """Write rows as JSON lines (a folder of part files); with ``order``, one sorted file."""
-    rows = to_json(df.drop(*order)) if not order else to_json(df.orderBy(*order).coalesce(1).drop(*order))
+def write(df: DataFrame, path: str, mode: str = "overwrite", order: tuple[str, ...] = ()) -> int:
+    """Write rows as JSON lines (a folder of part files) and tell how many; with ``order``, one sorted file."""
+    kept = written(df)  # computed once, and counted by its files' footers
+    rows = to_json(kept.drop(*order)) if not order else to_json(kept.orderBy(*order).coalesce(1).drop(*order))
     rows.write.mode(mode).text(path)
+    return kept.count()
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Add rows as JSON lines."""
-    write(df, path, mode="append")
+def append(df: DataFrame, path: str) -> int:
+    """Add rows as JSON lines and tell how many."""
+    return write(df, path, mode="append")
 
 
 def write_routed(traces: DataFrame, path: str) -> None:

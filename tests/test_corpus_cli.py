@@ -42,6 +42,19 @@ def test_commands(spark, tmp_path, capsys):
     for ranker in ("majority", "retrieval"):
         assert cli.main(["evaluate", built, "--out", str(tmp_path / ranker), "--ranker", ranker], spark) == 0
         m = json.loads(capsys.readouterr().out.splitlines()[-1])
-        assert m["n"] > 0 and m["oracle_coverage"] == 1.0
+        assert m["n"] > 0 and m["oracle_coverage"] == 1.0 and "pass_at_1" not in m
+    out_dir = tmp_path / "checked"
+    for _ in range(2):  # the second time from memory
+        assert cli.main(["evaluate", built, "--out", str(out_dir), "--command", "grep -q exact", "--seeds", f"{out}/seeds/part-*", "--memory", str(tmp_path / "memory")], spark) == 0
+        m = json.loads(capsys.readouterr().out.splitlines()[-1])
+        assert m["checks"] >= m["verified_checks"] > 0 and 0 < m["pass_at_1"] <= m["pass_at_5"] <= 1
+    said = {(r.theorem_name, r.tactic) for r in spark.read.json(str(out_dir / "failures")).collect()}
+    assert said and all("exact" not in t for _, t in said)
+    assert spark.read.json(str(out_dir / "families")).count() > 3 and spark.read.json(str(out_dir / "confusion")).count() > 0
+    assert cli.main(["summarise", lines, "--human"], spark) == 0 and "== summary" in capsys.readouterr().out
+    (tmp_path / "bad.jsonl").write_text("{no\n")
+    assert cli.main(["summarise", str(tmp_path / "bad.jsonl")], spark) == 0 and "line 1" in capsys.readouterr().err
+    assert cli.main(["collect", "--seeds", f"{out}/seeds/part-*", "--out", str(tmp_path / "x"), "--backend", "lean-cli", "--command", "grep -q rfl", "--max-seeds", "3", "--num-candidates", "4", "--dry-run"], spark) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["attempted"] == 12
     assert cli.main(["summarise", str(tmp_path / "none*")], spark) == 2
     assert cli.main(["collect", "--seeds", str(tmp_path / "no"), "--candidates", "x", "--out", traces], spark) == 2

@@ -36,6 +36,36 @@ def test_loglinear_saved(spark, tmp_path):
     rank.LogLinear(iterations=5, buckets=64).fit(train).save(str(tmp_path / "m"))
     asked = spark.createDataFrame([(1, "s", "⊢ and")], "row_id bigint, theorem_statement string, state_before string")
     assert rank.LogLinear(buckets=64).load(str(tmp_path / "m")).transform(asked, 1).first().predictions == ["split"]
+    told = rank.LogLinear(buckets=64).load(str(tmp_path / "m")).trained.first()
+    assert (told.classes, told.buckets, told.max_iterations, told.train_top1) == (2, 64, 5, 1.0)
+
+
+def test_model_artifacts(spark, tmp_path):
+    chars = generate.vocabulary(spark.createDataFrame([("ba",)], "t string"), "t")
+    stats = generate.latent_statistics(spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "v array<double>"), "v")
+    generate.save(str(tmp_path / "m"), chars, stats)
+    ids, latents = generate.load(spark, str(tmp_path / "m"))
+    assert ids == {"a": 4, "b": 5} and latents[0][0] == 2.0 and latents[1] == (5.0, 0.001)
+    generate.save(str(tmp_path / "n"), chars)
+    assert generate.load(spark, str(tmp_path / "n"))[1] == []
+
+
+def test_evaluation(spark, tmp_path):
+    from sievetrace.operators import evaluate
+
+    rows = spark.createDataFrame([(1, "t", "p", "s", "a", ["x", "a", "x"]), (2, "t", "p", "s2", "b", ["x"]), (3, "u", "q", "s", "c", [])], "row_id bigint, theorem_name string, theorem_statement string, state_before string, ground_truth_tactic string, predictions array<string>")
+    every = spark.createDataFrame([("t", "s", "a"), ("u", "s", "c")], "theorem_name string, state_before string, tactic string")
+    fam = spark.createDataFrame([("t", "eq_refl"), ("u", "other")], "theorem_name string, family string")
+    acts = spark.createDataFrame([("x", ["eq_symm"])], "tactic string, families array<string>")
+    check = evaluate.example_checker(lambda source: {"success": ":= by\n  a\n" in source, "error": None if "  a" in source else "no", "elapsed_ms": 0.0})
+    done = evaluate.evaluate(rows, every, check, str(tmp_path / "memory"), families=fam, actions=acts)
+    m = done.metrics.first()
+    assert (m.n, m.checks, m.verified_checks) == (3, 3, 1) and m.pass_at_1 == 0 and m.pass_at_3 == pytest.approx(1 / 3) and m.any_verified_at_3 == pytest.approx(1 / 3)
+    assert sorted((r.row_id, r.tactic) for r in done.failures.collect()) == [(1, "x"), (2, "x")]
+    assert {r.family: r.pass_at_3 for r in done.families.collect()} == {"eq_refl": 0.5, "other": 0.0}
+    assert [(r.true_family, r.predicted_family, r.n) for r in done.confused.collect()] == [("eq_refl", "eq_symm", 2)]
+    off = evaluate.offline(rows).first()
+    assert (off.n, off.unique_predictions, off.top1_exact) == (3, 2, 0.0) and off.top5_contains == pytest.approx(1 / 3) and off.avg_distinct == 1.0
 
 
 def test_tfidf(spark):

@@ -260,3 +260,121 @@ def test_proposers(spark):
     with pytest.raises(ValueError):
         proposers.source("nobody")
     assert proposers.Settings.from_env({"SIEVETRACE_TIMEOUT": "x", "SIEVETRACE_MODEL": "m"}) == proposers.Settings(model="m")
+
+
+def toy():
+    """A backend for workers: ``go`` adds a mark, ``end`` finishes, ``bad`` fails, ``odd`` gives something else."""
+    from types import SimpleNamespace as N
+
+    class Toy:
+        def start(self, theorem):
+            return N(pp="⊢ " + theorem["theorem_name"])
+
+        def run(self, state, action):
+            return {"go": N(pp=state.pp + "!"), "end": N(finished=True), "bad": N(error="no"), "odd": N()}[action]
+
+    return lambda: verify.Live(Toy())
+
+
+def test_live_sessions_over_batches(spark):
+    rows = [(n, "⊢ " + n + "!" * k, t, k) for n in "ab" for k, t in enumerate(["go", "go", "bad", "end", "odd"][:5]) if k < 3 or n == "a"] + [("a", "⊢ never seen", "go", 9)]
+    rows = [(n, "⊢ a!!" if t in ("end", "odd") else s, t, k) for n, s, t, k in rows]
+    df = spark.createDataFrame(rows, "theorem_name string, state string, tactic string, k int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {(r.theorem_name, r.k): (r.next_state, r.proof_finished, r.num_goals, r.error) for r in verify.run_sessions(df, toy(), order="k").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got["a", 0] == ("⊢ a!", False, 1, None) and got["a", 1] == ("⊢ a!!", False, 1, None)  # the second state was seen in the batch before
+    assert got["a", 2] == (None, False, 1, "no") and got["a", 3] == ("no goals", True, 0, None) and got["a", 4][3] == "unexpected result SimpleNamespace"
+    assert got["a", 9][3] == "unknown state" and got["b", 1] == ("⊢ b!!", False, 1, None)
+
+
+def test_memory_that_stays(spark, tmp_path):
+    log, path = tmp_path / "calls", str(tmp_path / "memory")
+    log.write_text("")
+    where = str(log)
+
+    def checker(source):
+        with open(where, "a") as f:
+            f.write(source + "\n")
+        return {"success": source == "a", "error": {"a": None, "slow": "timeout"}.get(source, "no"), "elapsed_ms": 1.0}
+
+    check = lambda df: verify.check_sources(df, "tactic", checker)
+    rows = spark.createDataFrame([("t", "s", "a"), ("t", "s", "a"), ("t", "s", "b"), ("u", "s", "slow")], "theorem_name string, theorem_statement string, tactic string")
+    assert verify.remembered(spark, path).count() == 0
+    for calls in (["a", "b", "slow"], ["slow"], ["slow"]):  # a timeout isn't remembered
+        done = verify.check_all(rows, check, path)
+        assert done.count() == 4 and sorted((r.tactic, r.error) for r in done.collect()) == [("a", None), ("a", None), ("b", "no"), ("slow", "timeout")]
+        assert sorted(log.read_text().split()) == calls
+        log.write_text("")
+    assert verify.remembered(spark, path).count() == 2
+
+
+def test_backends_of_a_collection(spark):
+    seeds = spark.createDataFrame([("t", "p", None, "by __TACTIC__", None, ["import A"]), ("u", "p", None, None, None, [])], "theorem_name string, theorem_statement string, initial_state string, template string, placeholder string, imports array<string>")
+    given = offers(spark, [(n, "x", ["rfl", "exact h"]) for n in "tu"])
+    judge = verify.attempts("Lean_CLI", command=["grep", "-q", "import A.*rfl\\|by rfl"])
+    got = {(r.theorem_name, r.tactic): r for r in collect.collect(seeds, given, judge=judge, backend="lean-cli").collect()}
+    assert (got["t", "rfl"].success, got["t", "rfl"].proof_finished, got["t", "rfl"].state_after, got["t", "rfl"].backend) == (True, True, "<verified by lean-cli>", "lean-cli")
+    assert got["t", "exact h"].error == "exit code 1" and got["u", "rfl"].error == "no template" and not got["u", "rfl"].success
+    assert got["t", "rfl"].timestamp.endswith("+00:00")
+    live = verify.attempts("leandojo", open_session=toy())
+    deep = spark.createDataFrame([("t", "p", "⊢ t")], "theorem_name string, theorem_statement string, initial_state string")
+    one = collect.collect(deep, offers(spark, [("t", "x", ["go", "end"])]), judge=live).collect()
+    assert {r.tactic: (r.success, r.proof_finished, r.state_after) for r in one} == {"go": (True, False, "⊢ t!"), "end": (True, True, "no goals")}
+    with pytest.raises(ValueError):
+        verify.attempts("nobody")
+    assert verify.cut("x" * 2000) == "x" * 1500 + "...[truncated]"
+
+
+def test_levels_are_made_once(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.write_text("")
+    where = str(log)
+
+    def judge(rows):
+        def mark(batches):
+            for b in batches:
+                with open(where, "a") as f:
+                    f.write("x" * len(b))
+                yield b
+
+        schema = rows.schema
+        return verify.by_column()(rows.mapInPandas(mark, schema))
+
+    seeds = spark.createDataFrame([("t", "p", "⊢ ∀ x, p")], "theorem_name string, theorem_statement string, initial_state string")
+    traces = collect.collect(seeds, offers(spark, [("t", "any", ["intro x", "rfl"])]), depth=3, judge=judge)
+    assert traces.count() == 6 and traces.count() == 6 and len(log.read_text()) == 6
+
+
+def test_settings_and_sources(spark, tmp_path):
+    path = tmp_path / ".env"
+    path.write_text("# comment\nexport SIEVETRACE_MODEL='quoted # kept'\nSIEVETRACE_TIMEOUT=7.5 # seconds\nSIEVETRACE_RETRIES=x\nnonsense\n\n")
+    got = proposers.Settings.from_env({"SIEVETRACE_BACKEND": "lean-cli"}, str(path))
+    assert got == proposers.Settings(model="quoted # kept", backend="lean-cli", timeout_s=7.5)
+    assert proposers.Settings.from_env({"SIEVETRACE_TIMEOUT": "1"}, str(path)).timeout_s == 1 and proposers.env_file(str(tmp_path / "none")) == {}
+    file = written(tmp_path, "c.jsonl", [{"theorem_name": "t", "state_before": "s", "candidates": ["a"]}, "{broken"])
+    assert [r.candidates for r in proposers.source("manual-file")(asked(spark, ("t", "s")), file).collect()] == [["a"]]
+    assert [(r._line_no, r.warning) for r in jsonl.malformed(jsonl.records(spark, [file], "theorem_name string")).collect()] == [(4, "line 4: not a JSON object, skipped")]
+    left = [2]
+
+    def flaky(request):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise OSError
+        return request
+
+    assert proposers.retried(flaky, 2, 0.0)("r") == "r"
+    left[0] = 2
+    with pytest.raises(OSError):
+        proposers.retried(flaky, 1, 0.0)("r")
+
+
+def test_sinks_count(spark, tmp_path):
+    out = str(tmp_path / "lines")
+    assert jsonl.append(spark.range(3), out) == 3 and jsonl.append(spark.range(4), out) == 4 and spark.read.text(out).count() == 7
+    assert jsonl.write(spark.range(2), out) == 2
+    skeleton = jsonl.skeleton(spark.createDataFrame([("t", "s")], "theorem_name string, initial_state string")).first()
+    assert (skeleton.theorem_name, skeleton.state_before, skeleton.candidates) == ("t", "s", [])
