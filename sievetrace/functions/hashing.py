@@ -86,3 +86,9 @@ def dense_id(alphabet: list[str], c: Column, unknown: int = 3) -> Column:
     """Ids (from 4) of a text's characters in a sorted alphabet; ``unknown`` for the others."""
     table = F.create_map(*reduce(lambda a, kv: [*a, F.lit(kv[1]), F.lit(kv[0] + 4)], enumerate(alphabet), []))
     return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.coalesce(F.try_element_at(table, x), F.lit(unknown)))
+
+
+def target_ids(ids: Column, most: int | None = None, begin: int = 1, end: int = 2) -> Column:
+    """Ids of a target between begin and end marks; one that is longer than ``most`` is cut before its end mark."""
+    whole = F.concat(F.array(F.lit(begin)), ids, F.array(F.lit(end)))
+    return whole if most is None else F.when(F.size(whole) > most, F.concat(F.slice(whole, 1, most - 1), F.array(F.lit(end)))).otherwise(whole)

@@ -110,15 +110,22 @@ def split_members(dataset: DataFrame) -> DataFrame:
 
 
 def summary(classified: DataFrame) -> DataFrame:
-    """One row: rows read, invalid, included, distinct groups and actions, rows and groups by split."""
+    """One row: rows read, invalid, included, distinct groups and actions, rows and groups by split.
+
+    Distinct groups are counted from one row for each group, distinct actions from their digests.
+    """
     inc = F.col("reason").isNull()
-    own = lambda c: F.when(inc, F.col(c))
-    by_split = [x for s in ("train", "val", "test") for x in (
-        F.count_if(inc & (F.col("split") == s)).alias(f"rows_{s}"), F.countDistinct(F.when(inc & (F.col("split") == s), F.col("theorem_name"))).alias(f"groups_{s}"))]
-    return classified.agg(
+    of = lambda s: inc & (F.col("split") == s)
+    splits = ("train", "val", "test")
+    rows = classified.agg(
         F.count("*").alias("records_read"), F.count_if(F.col("reason") == "invalid").alias("records_invalid"), F.count_if(inc).alias("records_included"),
-        F.countDistinct(own("theorem_name")).alias("unique_theorems"), F.countDistinct(own("tactic")).alias("unique_tactics"), *by_split,
+        *(F.count_if(of(s)).alias(f"rows_{s}") for s in splits),
     )
+    included_rows = classified.filter(inc)
+    groups = included_rows.groupBy("theorem_name").agg(F.collect_set("split").alias("splits"))  # three splits at most
+    told = groups.agg(F.count("theorem_name").alias("unique_theorems"), *(F.count_if(F.array_contains("splits", s) & F.col("theorem_name").isNotNull()).alias(f"groups_{s}") for s in splits))
+    actions = included_rows.select(F.md5("tactic").alias("_tactic")).agg(F.countDistinct("_tactic").alias("unique_tactics"))
+    return rows.join(F.broadcast(told)).join(F.broadcast(actions))  # one row each
 
 
 def counts(classified: DataFrame, col: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from sievetrace.sources.working import numbered
+
 #: Ids of pad, begin, end and unknown (fixed values).
 PAD, BEGIN, END, UNKNOWN = range(4)
 
@@ -43,9 +45,9 @@ def truncated(rows: DataFrame, col: str, most: int) -> DataFrame:
 
 
 def library(rows: DataFrame, col: str) -> DataFrame:
-    """(idx, text): distinct texts in order, whose latents samples snap to; a model's own, so bounded."""
-    texts = rows.select(F.col(col).alias("text")).distinct()
-    return texts.withColumn("idx", (F.row_number().over(Window.orderBy("text")) - 1).cast("int"))
+    """(idx, text): distinct texts in order, whose latents samples snap to."""
+    texts = numbered(rows.select(F.col(col).alias("text")).distinct(), "idx", "text")
+    return texts.select(F.col("idx").cast("int").alias("idx"), "text")
 
 
 def latent_statistics(rows: DataFrame, vector: str) -> DataFrame:

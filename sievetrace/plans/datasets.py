@@ -66,10 +66,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_groups"))
 
 
-@query("dataset_split_members", f"SELECT split, string_agg(source, ',' ORDER BY source) AS members FROM (SELECT DISTINCT source, {SPLIT_SQL} AS split FROM (SELECT source, {UNIT_SQL.format('source')} FROM documents)) GROUP BY split")
+@query("dataset_split_members", f"SELECT DISTINCT split, source AS theorem_name FROM (SELECT source, {SPLIT_SQL} AS split FROM (SELECT source, {UNIT_SQL.format('source')} FROM documents))")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", hash_split(F.col("source")).alias("split")).distinct()
-    return docs.groupBy("split").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("members"))
+    return dataset.split_members(table(spark, d, "documents").select(F.col("source").alias("theorem_name"), hash_split(F.col("source")).alias("split")))
 
 
 @query("dataset_distinct_sorted", "SELECT DISTINCT replace(text, chr(10), '\\n') AS line FROM conversations")

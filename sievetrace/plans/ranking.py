@@ -10,20 +10,20 @@ from sievetrace.operators import generate, lookup, metrics, rank
 from sievetrace.plans.registry import query
 from sievetrace.plans.tables import table
 
-#: Stated queries: vectors and documents whose id is divisible by 100.
+#: Stated queries: vectors and documents whose id is divisible by 100, against all rows (vectors but themselves).
 _EVERY = 100
 _D = "CAST(embedding AS DOUBLE[])"
 _KNN = f"""q AS (SELECT vec_id AS row_id, label AS truth, {_D} AS q FROM embeddings WHERE vec_id % {_EVERY} = 0),
-t AS (SELECT vec_id, label, {_D} AS v FROM embeddings WHERE vec_id % {_EVERY} <> 0),
-r AS (SELECT row_id, truth, vec_id, label, list_inner_product(q, v) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(v, v))) AS score FROM q, t),
+t AS (SELECT vec_id, label, {_D} AS v FROM embeddings),
+r AS (SELECT row_id, truth, vec_id, label, list_inner_product(q, v) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(v, v))) AS score FROM q, t WHERE row_id <> vec_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS rank FROM r),
 p AS (SELECT row_id, any_value(truth) AS truth, list(CAST(label AS VARCHAR) ORDER BY rank) AS preds FROM n WHERE rank <= 20 GROUP BY row_id)"""
 
 
 def _neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings")
-    asked, library = e.filter(F.col("vec_id") % _EVERY == 0).withColumnRenamed("vec_id", "row_id"), e.filter(F.col("vec_id") % _EVERY != 0)
-    return rank.nearest(asked, library, "embedding", "embedding", "row_id", "vec_id", "label", k, arithmetic.cosine, bigger=True)
+    asked = e.filter(F.col("vec_id") % _EVERY == 0).withColumnRenamed("vec_id", "row_id")
+    return rank.nearest(asked, e, "embedding", "embedding", "row_id", "vec_id", "label", k, arithmetic.cosine, bigger=True, others=True)
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
@@ -41,12 +41,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "nn_snap_argmin",
-    f"WITH q AS (SELECT vec_id AS row_id, {_D} AS q FROM embeddings WHERE vec_id % {_EVERY} = 0), t AS (SELECT vec_id, {_D} AS v FROM embeddings WHERE vec_id % {_EVERY} <> 0) SELECT row_id, vec_id FROM (SELECT row_id, vec_id, row_number() OVER (PARTITION BY row_id ORDER BY list_distance(q, v), vec_id) AS n FROM q, t) WHERE n = 1",
+    f"WITH q AS (SELECT vec_id AS row_id, {_D} AS q FROM embeddings WHERE vec_id % {_EVERY} = 0), t AS (SELECT vec_id, {_D} AS v FROM embeddings) SELECT row_id, vec_id FROM (SELECT row_id, vec_id, row_number() OVER (PARTITION BY row_id ORDER BY list_distance(q, v), vec_id) AS n FROM q, t WHERE row_id <> vec_id) WHERE n = 1",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     asked = e.filter(F.col("vec_id") % _EVERY == 0).withColumnRenamed("vec_id", "row_id")
-    return rank.nearest(asked, e.filter(F.col("vec_id") % _EVERY != 0), "embedding", "embedding", "row_id", "vec_id", "label").select("row_id", "vec_id")
+    return rank.nearest(asked, e, "embedding", "embedding", "row_id", "vec_id", "label", others=True).select("row_id", "vec_id")
 
 
 @query(
@@ -101,9 +101,10 @@ SELECT (SELECT avg(length(p[1])) FROM r) AS avg_top1_chars, (SELECT avg(len(list
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    rows = e.filter("ts >= timestamp '2024-01-15'").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]).alias("predictions"))
+    each = e.filter("ts >= timestamp '2024-01-15'").select("user_id", "event_id", F.col("event_type").alias("tactic"), F.col("event_type").isin("click", "view").alias("ok"))
     train = e.filter("ts < timestamp '2024-01-15' and event_type <> 'view'").select(F.col("event_type").alias("tactic"))
-    return metrics.generation(rows.withColumn("accepted", F.array(F.lit("click"), F.lit("view"))), train)
+    rows = each.agg(F.countDistinct("user_id").alias("_rows"))
+    return metrics.generation_of(each, rows, train, "user_id", "event_id", "ok")
 
 
 @query("majority_topk", "SELECT event_type AS tactic, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
@@ -174,7 +175,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return generate.vocabulary(table(spark, d, "benchmark"), "text")
 
 
-@query("ngram_hash_features")
+@query(
+    "ngram_hash_features",
+    """WITH bits AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+m AS (SELECT item_id, 'F' AS tag, '^' || text || '$' AS m FROM benchmark UNION ALL SELECT item_id, 'G', '^' || split_part(text, '.', 1) || '$' FROM benchmark),
+g AS (SELECT item_id, tag, substr(m, i, k) AS g FROM (SELECT item_id, tag, m, k, unnest(range(1, length(m) - k + 2)) AS i FROM m, (SELECT unnest([2, 3, 4]) AS k))),
+x AS (SELECT tag, g, hex(encode(tag || chr(31) || g)) AS x FROM (SELECT DISTINCT tag, g FROM g)),
+b AS (SELECT tag, g, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length(x) // 2 + 1 AS BIGINT)), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT))), lambda a, b: xor(bits.t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 8192 AS INT) AS bucket FROM x, bits),
+v AS (SELECT item_id, bucket, 1.0::DOUBLE AS v FROM (SELECT DISTINCT item_id, bucket FROM g JOIN b USING (tag, g) WHERE tag = 'F') UNION ALL SELECT item_id, bucket, 1.5::DOUBLE FROM g JOIN b USING (tag, g) WHERE tag = 'G'),
+s AS (SELECT item_id, bucket, sum(v) AS v FROM v GROUP BY ALL), n AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY item_id)
+SELECT item_id, bucket, round(v / norm, 6) AS value FROM s JOIN n USING (item_id)""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select("item_id", F.explode(hashing.feature_rows(F.col("text"), F.substring_index("text", ".", 1))).alias("f"))
     summed = items.groupBy("item_id", "f.bucket").agg(F.sum("f.value").alias("value"))
@@ -189,7 +200,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("loglinear_fit")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("train_id"), F.lit("b").alias("theorem_statement"), F.col("text").alias("state_before"), F.when(F.length("text") > 180, "long").otherwise("short").alias("tactic"))
-    asked = docs.select(F.col("train_id").alias("row_id"), "theorem_statement", "state_before", F.col("tactic").alias("truth"))
-    found = rank.LogLinear().fit(docs).transform(asked, 2)
-    return found.groupBy("truth").agg(F.count("*").alias("n"), F.count_if(F.get("predictions", F.lit(0)) == F.col("truth")).alias("right"))
+    docs = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("train_id"), F.lit("b").alias("theorem_statement"), F.col("text").alias("state_before"),
+        F.when(F.length("text") > 180, "long").otherwise("short").alias("tactic"), hashing.hash_split(F.col("item_id").cast("string"), train=0.6, val=0.2, test=0.2).alias("split"),
+    )
+    asked = docs.filter("split <> 'train'").select(F.col("train_id").alias("row_id"), "theorem_statement", "state_before", F.col("tactic").alias("truth"), "split")
+    found = rank.LogLinear().fit(docs.filter("split = 'train'")).transform(asked, 2)
+    return found.groupBy("split", "truth").agg(F.count("*").alias("n"), F.count_if(F.get("predictions", F.lit(0)) == F.col("truth")).alias("right"))

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sievetrace.plans import cleaning, datasets, ranking, reports, verification  # noqa: F401
+    from sievetrace.plans import cleaning, datasets, parts, ranking, reports, scans, verification  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -126,16 +126,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "warnings_flags",
-    f"""WITH {EVENT_TRACES}, a AS (SELECT theorem_name, count(*) FILTER (success) AS s, count(DISTINCT CASE WHEN success THEN tactic END) AS k,
+    f"""WITH {EVENT_TRACES}, a AS (SELECT theorem_name, count(*) AS n, count(*) FILTER (success) AS s, count(*) FILTER (success AND tactic IN ('click')) AS auto, count(DISTINCT CASE WHEN success THEN state_before || chr(0) || tactic END) AS k,
   bool_and(CASE WHEN success THEN coalesce(state_after = '<verified by lean-cli>', false) END) AS p FROM ev GROUP BY theorem_name)
-SELECT theorem_name, coalesce(CAST(s - k AS DOUBLE) / nullif(s, 0), 0) >= 0.3 AS high_duplicates, coalesce(p, false) AS all_placeholder FROM a""",
+SELECT theorem_name, coalesce(CAST(auto AS DOUBLE) / nullif(s, 0), 0) >= 0.6 AS high_automation, coalesce(CAST(s - k AS DOUBLE) / nullif(s, 0), 0) >= 0.3 AS high_duplicates, coalesce(p, false) AS all_placeholder FROM a""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = event_traces(spark, d).groupBy("theorem_name").agg(
-        F.count_if("success").alias("s"), F.countDistinct(F.when(F.col("success"), F.col("tactic"))).alias("k"),
-        F.coalesce(F.bool_and(F.when(F.col("success"), F.coalesce(F.col("state_after") == summary.PLACEHOLDER_STATE, F.lit(False)))), F.lit(False)).alias("all_placeholder"),
-    )
-    return rows.select("theorem_name", (summary.ratio(F.col("s") - F.col("k"), F.col("s")) >= summary.HIGH_DUPLICATES).alias("high_duplicates"), "all_placeholder")
+    ev = event_traces(spark, d).withColumn("tactic", F.when(F.col("tactic") == "click", "simp").otherwise(F.col("tactic")))
+    said = summary.summarise(ev, by=("theorem_name",))
+    has = lambda part, name: F.exists("warnings", lambda w: w.startswith(part)).alias(name)
+    return said.select("theorem_name", has("high automation", "high_automation"), has("high duplicate", "high_duplicates"), has("all successes", "all_placeholder"))
 
 
 @query("topk_first_seen", f"WITH {EVENT_TRACES} SELECT theorem_name AS value, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, min(line_no) LIMIT 10")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievetrace import schema
 from sievetrace.functions.text import strip
-from sievetrace.sources.working import written
+from sievetrace.sources.working import numbered, written
 
 ORDER = ("_file_ord", "_line_no")
 
@@ -166,8 +166,5 @@ def skeleton(seeds: DataFrame) -> DataFrame:
 
 
 def with_order(df: DataFrame, *by: str) -> DataFrame:
-    """Give rows of a table without files an order: ``_file_ord`` 0 and ``_line_no`` by columns.
-
-    The rank is global, so this is for small tables; large ones bring an id to order by.
-    """
-    return df.withColumn("_file_ord", F.lit(0)).withColumn("_line_no", F.row_number().over(Window.orderBy(*by)).cast("long"))
+    """Give rows of a table without files an order: ``_file_ord`` 0 and ``_line_no`` (from 1) by columns."""
+    return numbered(df, "_line_no", *by).withColumn("_file_ord", F.lit(0)).withColumn("_line_no", F.col("_line_no") + 1)

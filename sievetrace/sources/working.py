@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,3 +25,18 @@ def written(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with the number (from 0) of each row in an order over all rows, without one task that holds them all.
+
+    Rows are ranged and sorted; a row's number is its place in its partition and the rows of those before, of which
+    there is one count for each partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_piece", F.spark_partition_id()))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_piece").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    counts = counts.select("_piece", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(F.broadcast(counts), "_piece").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_piece", "_shift")

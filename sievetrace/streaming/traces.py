@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StructType
 
 from sievetrace.functions.arithmetic import ratio
 
 
-def read(spark: SparkSession, path: str, ddl: str, files_each: int = 100) -> DataFrame:
+def read(spark: SparkSession, path: str, ddl: str | StructType, files_each: int = 100) -> DataFrame:
     """A stream of Parquet files that land in a folder."""
     return spark.readStream.schema(ddl).option("maxFilesPerTrigger", files_each).parquet(path)
 

@@ -27,3 +27,13 @@ def test_registry(spark):
     assert len(queries) > 50 and set(sql) <= set(queries)
     df = queries["dataset_build"](spark, "/root/testdata/sf0.001")
     assert df.columns == ["split", "n_rows", "n_groups"] and df.count() > 0
+
+
+def test_numbered(spark):
+    from sievetrace.sources.working import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 997).alias("a"), F.col("id").alias("b")).repartition(5)
+    got = numbered(rows, "n", "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.n)] == sorted((r.a, r.b) for r in rows.collect()) and sorted(r.n for r in got) == list(range(1000))
+    assert numbered(rows.limit(0), "n", "a").count() == 0
+    assert [(r._line_no, r._file_ord) for r in jsonl.with_order(spark.range(3), "id").orderBy("id").collect()] == [(1, 0), (2, 0), (3, 0)]
