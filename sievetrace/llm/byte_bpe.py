@@ -26,6 +26,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievetrace.llm.runtime import small_batches
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries that one Python worker remembers; it starts again when they are reached.
 CACHE_ENTRIES = 600_000
@@ -156,7 +158,7 @@ def encode(docs: DataFrame, vocab_path: str | None = None, pattern: str = public
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.encode(t) for t in part.column(1).to_pylist()], pa.binary())], [id_col, "ids"])
 
     kept = docs.select(F.col(id_col), F.col(text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids binary")
+    return small_batches(kept).mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, vocab_path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id") -> DataFrame:
@@ -171,7 +173,7 @@ def decode(encoded: DataFrame, vocab_path: str | None = None, pattern: str = pub
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([own.decode(x) for x in part.column(1).to_pylist()], pa.binary())], [id_col, "ids", "decoded"])
 
     kept = encoded.select(id_col, "ids")
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids binary, decoded binary")
+    return small_batches(kept).mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sievetrace.llm import wordhash
 from sievetrace.llm.components import connected_components
-from sievetrace.llm.runtime import table
+from sievetrace.llm.runtime import small_batches, table
 
 WORDS = 5
 #: Similarity of a link, as a fraction.
@@ -241,7 +241,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 at += len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), part.column(0), part.column(2), *(pa.array([r[c] for r in rows], fields.types[c + 3]) for c in range(4))], schema=fields)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _candidates(buckets: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sievetrace.llm.runtime import free_name
+from sievetrace.llm.runtime import free_name, small_batches
 
 ALIGN = 64
 RATE = 8000
@@ -320,7 +320,7 @@ def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
     kept = docs.select(F.col(id_col), F.col(text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_bytes bigint, media binary")
+    return small_batches(kept).mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
 def demux(media: DataFrame, media_col: str = "media") -> DataFrame:
@@ -350,7 +350,7 @@ def demux(media: DataFrame, media_col: str = "media") -> DataFrame:
 
     kinds = (PACKETS, "binary", "string", "string")
     new = StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in zip(added, kinds, strict=True)))
-    return media.mapInArrow(run, StructType([*media.schema, *new]))
+    return small_batches(media).mapInArrow(run, StructType([*media.schema, *new]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievetrace.llm.runtime import table
+from sievetrace.llm.runtime import small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -270,7 +270,7 @@ def _packed(docs: DataFrame, tokenizer_path: str | None, id_col: str, text_col:
             yield out()
 
     kept = docs.select(F.col(id_col), F.col(text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, tier int, nth bigint, ids binary")
+    return small_batches(kept).mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, tier int, nth bigint, ids binary")
 
 
 def _in_steps(rows: DataFrame, step_tokens: int) -> DataFrame:

@@ -89,6 +89,19 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to a Python worker: whole texts may be long, and both sides hold a batch at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Arrow batches of at most ``BATCH_ROWS`` rows from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(df.sparkSession.conf.get(key))
+    if most <= 0 or most > BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def text_bytes(df: DataFrame, col: str) -> int:
     """UTF-8 bytes of a text column over all rows (one pass, one number to the driver)."""
     return df.agg(F.sum(F.octet_length(col))).first()[0] or 0

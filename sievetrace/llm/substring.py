@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sievetrace.llm import wordhash
-from sievetrace.llm.runtime import table, text_bytes
+from sievetrace.llm.runtime import small_batches, table, text_bytes
 
 WINDOW = 50
 #: Any window of 50 words holds a whole block of 25 that starts at a multiple of 25.
@@ -310,7 +310,7 @@ def _probes(docs: DataFrame, r: Route) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(run, _PACKED)
+    return small_batches(docs).mapInArrow(run, _PACKED)
 
 
 def _meet(packed: DataFrame, r: Route, match: Callable[[Entries], Entries], combine: Callable[[Entries], tuple[Entries, Entries]]) -> DataFrame:
