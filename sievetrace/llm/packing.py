@@ -44,7 +44,7 @@ STEP_TOKENS = 32_768
 #: Tokens that wait in a partition for windows, beyond which windows are closed.
 POOL_TOKENS = 1_000_000
 #: Words after which a Python worker's memory becomes the older of two generations.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 SLICE = 256
 
 #: Characters that Python counts as white space and the tokenizer doesn't.
@@ -75,27 +75,33 @@ class WordTokenizer:
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of words, from the older generation or newly encoded."""
+    def _learn(self, words: set[str], lowered: bool) -> None:
+        """Remember the ids of words, from the older generation or newly encoded; ``lowered`` ones hold no odd letter."""
         seen, older = self.seen, self.older
         if older:
             seen.update((w, older[w]) for w in words if w in older)
         plain, other = [], []
         for w in words:
             if w not in seen:
-                (plain if w.isalpha() and not _ODD_LETTER.search(w) and w.islower() else other).append(w)
+                (plain if w.isalpha() and (lowered or w.islower() and not _ODD_LETTER.search(w)) else other).append(w)
         for own, new in ((self.stems, plain), (self.own, other)):
             for k in range(0, len(new), 4096):
                 part = new[k : k + 4096]
                 seen.update(zip(part, [array("I", e.ids).tobytes() for e in own.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
-    def _words(self, text: str | None) -> list[str] | None:
-        """White-space cut words; None for a text whose white space Python sees otherwise."""
+    def _words(self, text: str | None) -> tuple[list[str] | None, bool]:
+        """White-space cut words, None for a text whose white space Python sees otherwise; whether they were lowered."""
         if not text:
-            return []
+            return [], False
         if _ODD_SPACE.search(text):
-            return None
-        return text.split() if _ODD_LETTER.search(text) else _TAIL.sub(r" \g<0>", text.lower()).split()
+            return None, False
+        if _ODD_LETTER.search(text):
+            return text.split(), False
+        return _TAIL.sub(r" \g<0>", text.lower()).split(), True
+
+    def forget(self) -> None:
+        """Let the older words go: a worker that waits for its next task keeps the newer ones only."""
+        self.older = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids and the end id of each text."""
@@ -104,13 +110,13 @@ class WordTokenizer:
         get = self.seen.get
         out = []
         for text in texts:
-            words = self._words(text)
+            words, lowered = self._words(text)
             if words is None:
                 raw = array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
             else:
                 ids = list(map(get, words))
                 if None in ids:
-                    self._learn({w for w, x in zip(words, ids, strict=True) if x is None})
+                    self._learn({w for w, x in zip(words, ids, strict=True) if x is None}, lowered)
                     ids = map(get, words)
                 raw = b"".join(ids)
             out.append(np.frombuffer(raw + _END, "<u4"))
@@ -266,6 +272,7 @@ def _packed(docs: DataFrame, tokenizer_path: str | None, id_col: str, text_col:
                 if packer.rows:
                     yield out()
         packer.finish()
+        own.forget()
         if packer.rows:
             yield out()
 
